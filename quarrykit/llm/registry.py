@@ -5,15 +5,52 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from . import fingerprints, kneser_ney, language, toxicity
+from .common import fold, table
+from .decontaminate import leaks
 from .near_dups import near_duplicates
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels, learn=fold("doc_id") != 0)
+    scored = toxicity.toxicity(docs, model)
+    return scored.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", "predicted")
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = kneser_ney.train(docs.where(fold("doc_id") != 1))
+    scored = kneser_ney.score(docs, model)
+    return scored.select("doc_id", (fold("doc_id") == 1).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = language.train(docs, learn=fold("doc_id") != 0)
+    return language.languages(docs, net).select("doc_id", (fold("doc_id") == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+    near = fingerprints.resemblance
+    return rows.select(
+        "doc_id", "n_chars", "edited_sha256",
+        fingerprints.to_text(F.col("sketch")).alias("fingerprint"), fingerprints.to_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        near(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), near(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
