@@ -54,7 +54,8 @@ def shuffled_key(seed: str, *columns: Column) -> Column:
 
 
 def with_rank(df: DataFrame, groups: list[str], bucket: Column, order: list, name: str) -> DataFrame:
-    """``df`` with the 0-based rank ``name`` of each row in its group, in ascending (bucket, order).
+    """``df`` with the 0-based rank ``name`` of each row in its group, in ascending (bucket, order), and the group's
+    size as ``{name}_of``.
 
     ``bucket`` has to be an integer that never decreases along ``order``. A group of any size is spread over its
     buckets: rows are numbered inside (group, bucket) and the sizes of the buckets before are added, so no task
@@ -63,6 +64,6 @@ def with_rank(df: DataFrame, groups: list[str], bucket: Column, order: list, nam
     keys = [F.struct(F.col(g).alias("v")) for g in groups]  # a struct is never null, so null values join
     df = df.withColumn("_b", bucket).withColumn("_g", F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]) if keys else F.lit(0))
     before = Window.partitionBy("_g").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = df.groupBy("_g", "_b").agg(F.count("*").alias("_n")).select("_g", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    sizes = df.groupBy("_g", "_b").agg(F.count("*").alias("_n")).select("_g", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy("_g")).alias(f"{name}_of"))
     numbered = df.withColumn("_r", F.row_number().over(Window.partitionBy("_g", "_b").orderBy(*order)))
     return numbered.join(sizes, ["_g", "_b"]).withColumn(name, (F.col("_before") + F.col("_r") - 1).cast("long")).drop("_g", "_b", "_r", "_before")
