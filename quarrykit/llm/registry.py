@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import fingerprints, kneser_ney, language, toxicity, warc
 from .common import fold, table
 from .decontaminate import leaks
+from .html_text import main_text
 from .mixing import mixed
 from .near_dups import near_duplicates
 from .sharding import proportional_shards
@@ -52,6 +53,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(docs, net).select("doc_id", (fold("doc_id") == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
     near = fingerprints.resemblance
