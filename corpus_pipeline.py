@@ -1,12 +1,73 @@
-"""A corpus pipeline out of the operators of quarrykit.llm."""
+"""A corpus pipeline out of the operators of quarrykit.llm: each stage takes documents and returns documents.
+
+``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
+Parquet and read again as the next one's ``docs``. All but the last return the columns of ``docs`` and whole rows of it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarrykit.llm import toxicity
+from quarrykit.llm.common import stored, table
+from quarrykit.llm.decontaminate import leaks
+from quarrykit.llm.mixing import mixed
+from quarrykit.llm.near_dups import near_duplicates
+from quarrykit.llm.sharding import proportional_shards
+
+SHARDS = 40
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what a classifier trained on the labelled documents rejects. A null text is scored as an empty one."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.without_toxic(docs, model)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays. Of rows that repeat an id one stays;
+    empty texts and rows without an id stay."""
+    kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
+    one = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
+    return one.unionByName(docs.where("doc_id is null"))
+
+
+def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold an item of the benchmark, with its own values or others."""
+    found = leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leak")).distinct()
+    return docs.join(found, docs["doc_id"] == found["_leak"], "left_anti")
+
+
+def in_mixed_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, sorted by their place in the mixture; rows without an id follow in no order of their own."""
+    place = mixed(docs.where("doc_id is not null")).select(F.col("doc_id").alias("_id"), F.col("position").alias("_place"))
+    rows = docs.join(place, docs["doc_id"] == place["_id"], "left").orderBy(place["_place"].asc_nulls_last())
+    return rows.select(*[docs[c] for c in docs.columns])
+
+
+def into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The shard of every document and its slot there; every shard matches the sources' mixture."""
+    return proportional_shards(docs, SHARDS).select("doc_id", "source", "size", "text_crc32", "position", "shard", "slot")
+
+
+STAGES = [
+    ("toxicity", without_toxic),
+    ("near_duplicates", without_near_duplicates),
+    ("decontamination", without_leaks),
+    ("mixing", in_mixed_order),
+    ("sharding", into_shards),
+]
 
-STAGES: list = []
+#: A trained classifier can't be written as SQL; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over ``documents``, each written to the shared folder before the next."""
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = stored(docs, name)
+    return docs

@@ -165,3 +165,17 @@ def toxicity(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_co
     """(id, score, predicted) of every row, repeated rows and rows without id included; a null text scores as empty."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return source.mapInArrow(_score(model), f"id {dict(source.dtypes)['id']}, score double, predicted int").withColumnRenamed("id", id_col)
+
+
+def without_toxic(docs: DataFrame, model: Classifier, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with all their columns whose text isn't predicted toxic."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, starts = buffers(batch.column(at))
+            for a, b in parts(starts):
+                clean = model.score(raw[starts[a] : starts[b]], starts[a : b + 1] - starts[a]) < 0.5
+                yield batch.slice(a, b - a).filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)
