@@ -2,8 +2,8 @@
 
 After Wang and Manning (2012): a text is the set of its n-grams (bytes, A-Z in lower case, white space as one
 blank); r is the log ratio of an n-gram's share among toxic and other texts; a logistic regression with L2 penalty is
-fitted to the features r. N-grams whose ratio is within ``gate`` standard errors of zero get no feature: their
-sum over a text of many thousand characters would be noise.
+fitted to the features r. N-grams whose shares of toxic and other texts lie within ``gate`` standard errors of each
+other get no feature: their sum over a text of many thousand characters would be noise.
 
 Training uses a bounded sample of labelled rows (``sample`` of each label, lowest hash of the id first); their texts
 are read whole. Scoring reads every text whole, in one pass, with tables of 2**bits entries in each worker.
@@ -73,16 +73,17 @@ class Classifier:
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many toxic and other texts have each feature, one pair of vectors for a task."""
-    counts, every = np.zeros((2, 1 << BITS), np.int32), np.ones(1 << BITS, bool)
+    """How many other and toxic texts there are and have each feature, one pair of vectors for a task."""
+    counts, every, texts = np.zeros((2, 1 << BITS), np.int32), np.ones(1 << BITS, bool), np.zeros(2, np.int32)
     for batch in batches:
         raw, at = buffers(batch.column("text"))
         label = np.asarray(batch.column("label").to_pylist(), dtype=np.int64)
+        texts += np.bincount(label, minlength=2).astype(np.int32)
         for a, b in parts(at, 1 << 20):
             row, feature = present(raw[at[a] : at[b]], at[a : b + 1] - at[a], every)
             for y in (0, 1):
                 counts[y] += np.bincount(feature[label[a + row] == y], minlength=1 << BITS).astype(np.int32)
-    yield pa.RecordBatch.from_pydict({"other": [counts[0].tobytes()], "toxic": [counts[1].tobytes()]}, pa.schema([("other", pa.binary()), ("toxic", pa.binary())]))
+    yield pa.RecordBatch.from_pydict({"other": [np.append(counts[0], texts[0]).tobytes()], "toxic": [np.append(counts[1], texts[1]).tobytes()]}, pa.schema([("other", pa.binary()), ("toxic", pa.binary())]))
 
 
 def _rows(wanted: np.ndarray):
@@ -98,7 +99,7 @@ def _rows(wanted: np.ndarray):
     return run
 
 
-def logistic(row: np.ndarray, column: np.ndarray, value: np.ndarray, y: np.ndarray, width: int, penalty: float = 1.0, steps: int = 250) -> tuple[np.ndarray, float]:
+def logistic(row: np.ndarray, column: np.ndarray, value: np.ndarray, y: np.ndarray, width: int, penalty: float = 0.5, steps: int = 250) -> tuple[np.ndarray, float]:
     """Logistic regression by full-batch Adam on a sparse matrix given as (row, column, value)."""
     w, b = np.zeros(width), 0.0
     m, v = np.zeros(width + 1), np.zeros(width + 1)
@@ -127,14 +128,16 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_co
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")).where("text is not null")
     rows = stored(texts.join(F.broadcast(chosen), "i").select("label", "text"), "labelled")  # 2 * sample rows at most
     rows = rows.coalesce(8)  # 8 pairs of vectors at most go to the driver
-    other = toxic = np.zeros(1 << BITS)
+    other = toxic = np.zeros((1 << BITS) + 1)
     for part in rows.mapInArrow(_totals, "other binary, toxic binary").collect():
         other, toxic = other + np.frombuffer(part.other, np.int32), toxic + np.frombuffer(part.toxic, np.int32)
-    if not toxic.any() or not other.any():
-        return Classifier(np.zeros(1 << BITS), 60.0 if toxic.any() else -60.0)
+    (toxic, n1), (other, n0) = ((x[:-1], x[-1]) for x in (toxic, other))
+    if not n1 or not n0:
+        return Classifier(np.zeros(1 << BITS), 60.0 if n1 else -60.0)
     p, q = toxic + 1, other + 1
     r = np.log(p / p.sum()) - np.log(q / q.sum())
-    sure = np.abs(r) / np.sqrt(1 / p + 1 / q)
+    share = (toxic + other) / (n1 + n0)
+    sure = np.abs(toxic / n1 - other / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
     kept = np.flatnonzero(sure >= gate)
     kept = np.sort(kept[np.argsort(-sure[kept], kind="stable")[:FEATURES]])
     wanted = np.zeros(1 << BITS, bool)
