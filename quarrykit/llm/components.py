@@ -17,6 +17,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     e = stored(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    before = None
     for _ in range(max_rounds):
         # Large star: each larger neighbour is linked to the smallest of the neighbourhood.
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -25,12 +26,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         # Small star: each smaller neighbour, and the node itself, is linked to the smallest neighbour.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        new = stored(small, "edges")
-        same = new.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1000003).alias("s")).first()
-        old = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1000003).alias("s")).first()
-        e = new
-        if (same.n, same.s) == (old.n, old.s):
+        e = stored(small, "edges")
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003)).first()
+        if now == before:
             break
+        before = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     pairs = e.select(F.col("u").alias("node"), F.col("v").alias("component"))

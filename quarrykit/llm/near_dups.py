@@ -4,10 +4,12 @@ Circulant MinHash (Li and Li 2022): one permutation shuffles the universe of shi
 circularly by k, gives signature coordinate k. Both permutations are bijections of the 32-bit integers, so no
 table of the universe is held. Texts that agree on all coordinates of a band meet in a bucket.
 
-No bucket is expanded into pairs. Each text of a bucket is verified against the bucket's hub; what the hub leaves
-unconnected is settled in further rounds of a few hubs, each linear in the bucket, until every pair of the bucket
-is connected, verified or excluded by a bound that holds exactly: |A|/|B| below the threshold, or the triangle
-inequality of the Jaccard distance through the first hub.
+No bucket is expanded into pairs. Each text of a bucket is verified against the bucket's hub, the text with the fullest
+buckets, which lies near the middle of its group; then what the hub leaves apart against a few texts of the bucket's largest component. What is still apart is settled in rounds of a bounded
+number of hubs, each linear in the bucket, until every pair of a bucket is connected, verified or excluded: by size
+(|A| / |B| below the threshold), by the triangle inequality of the Jaccard distance through the first hub, or by an
+estimate that lies over four standard errors below the threshold, from the coordinates at hand and, in
+buckets with many texts still apart, from 1024.
 """
 
 from __future__ import annotations
@@ -28,7 +30,13 @@ BANDS, ROWS = 24, 4
 #: Elements whose signature is worked out at once: they stay in a core's cache.
 _CACHE = 1 << 16
 #: Texts compared with a hub by one group of rows, and hubs of a bucket in each later round.
-_SALT_ROWS, _HUBS = 256, 16
+_SALT_ROWS, _HUBS = 256, 256
+#: Rounds against texts of the largest component, and how many of them in each.
+_TRIES, _TRY = 2, 4
+#: Texts times texts still apart beyond which a bucket's estimates are refined, and with how many coordinates.
+_MANY, _FINE = 4096, 1024
+#: Standard errors by which an estimate has to miss the threshold before the pair is left unverified.
+_ERRORS = 4.4
 
 
 def _permute(x: np.ndarray, a: int, b: int, out: np.ndarray, tmp: np.ndarray) -> np.ndarray:
@@ -77,6 +85,22 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def nibbles(signatures: np.ndarray) -> np.ndarray:
+    """Four bits of each coordinate, sixteen coordinates in a 64-bit integer; a last one is filled with zeros."""
+    width = -(-signatures.shape[1] // 16)
+    bits = np.zeros((len(signatures), width * 16), dtype=np.uint64)
+    bits[:, : signatures.shape[1]] = signatures & np.uint32(15)
+    return np.bitwise_or.reduce(bits.reshape(len(signatures), width, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2).view(np.int64)
+
+
+def _unlike(a: str, b: str, coordinates: int, percent: int) -> str:
+    """SQL: whether two texts' nibbles differ more often than those of a pair at the threshold ever do."""
+    p = (1 - percent / 100) * 15 / 16
+    most = coordinates * p + _ERRORS * (coordinates * p * (1 - p)) ** 0.5
+    differ = f"transform(zip_with({a}, {b}, (x, y) -> x ^ y), z -> bit_count((z | shiftright(z, 1) | shiftright(z, 2) | shiftright(z, 3)) & 1229782938247303441L))"
+    return f"coalesce(aggregate({differ}, 0, (s, d) -> s + d) > {most:.3f}, false)"
+
+
 def _sets(texts: pa.Array, size: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
     raw, at = buffers(texts)
     for a, b in parts(at):
@@ -90,9 +114,20 @@ def _describe(size: int, bands: int, rows: int):
                 n = np.array([len(s) for s in sets], dtype=np.int64)
                 with np.errstate(over="ignore"):
                     sums = [np.array([mix64(s, k).sum(dtype=np.uint64) if len(s) else 0 for s in sets], dtype=np.uint64).view(np.int64) for k in (11, 12)]
-                keys = band_keys(circulant_signatures(sets, bands * rows), bands, rows)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * bands), pa.array(keys.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), lists], ["id", "n", "s1", "s2", "bands"])
+                signatures = circulant_signatures(sets, bands * rows)
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1))) for x in (band_keys(signatures, bands, rows), nibbles(signatures))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), *lists], ["id", "n", "s1", "s2", "bands", "nibbles"])
+
+    return run
+
+
+def _refine(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, sets in _sets(batch.column("text"), size):
+                x = nibbles(circulant_signatures(sets, _FINE))
+                fine = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), fine], ["fine_of", "fine"])
 
     return run
 
@@ -146,42 +181,74 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(source.dtypes)["id"]
-    described = stored(source.mapInArrow(_describe(shingle, bands, rows), f"id {kind}, n long, s1 long, s2 long, bands array<long>"), "signatures")
-    texts_of = described.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
+    described = stored(source.mapInArrow(_describe(shingle, bands, rows), f"id {kind}, n long, s1 long, s2 long, bands array<long>, nibbles array<long>"), "signatures")
+    texts_of = described.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("nibbles").alias("nibbles"))
     reps = stored(texts_of, "texts")
     keyed = reps.select("rep", "n", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "n")).alias("first")).where("c > 1")
-    members = stored(keyed.join(buckets, "key").select("key", "rep", "n", F.col("first.rep").alias("hub"), F.col("first.n").alias("hub_n")), "buckets")
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    members = stored(keyed.join(buckets, "key"), "buckets")
+    # The more and the fuller a text's buckets, the nearer it lies to the middle of its group.
+    middle = members.groupBy("rep").agg(F.sum("c").alias("middle"))
+    members = stored(members.drop("c").join(middle, "rep"), "buckets")
+    hubs = members.groupBy("key").agg(F.max(F.struct("middle", F.xxhash64("rep").alias("h"), "rep", "n")).alias("first"))
+    members = members.join(hubs, "key").select("key", "rep", "n", "middle", F.col("first.rep").alias("hub"), F.col("first.n").alias("hub_n"))
+    wanted = members.select("rep").distinct()
+    label = stored(wanted.select("rep", F.col("rep").alias("component")), "labels")
+    texts = stored(source.join(wanted, source.id == wanted.rep).select("id", "text"), "candidates")
+    linked = f"100 * common >= {percent} * whole"
+
+    def near(n: str, m: str) -> str:
+        return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})"
 
-    def near(n: str, m: str):
-        return F.expr(f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})")
+    def joined(label: DataFrame, links: DataFrame) -> DataFrame:
+        """The labels after further links: components of the components."""
+        old = label.withColumnRenamed("rep", "node")
+        ends = links.join(old, links.a == old.node).select("hub", F.col("component").alias("x"))
+        ends = ends.join(old, ends.hub == old.node).select("x", F.col("component").alias("y"))
+        moved = components(ends, "x", "y").withColumnRenamed("component", "new")
+        return stored(label.join(moved, label.component == moved.node, "left").select("rep", F.coalesce("new", "component").alias("component")), "labels")
 
-    named = reps.select(F.col("rep").alias("a"), "n", "s1", "s2")
-    wanted = members.select(F.col("rep").alias("w")).distinct()
-    texts = stored(source.join(wanted, source.id == wanted.w).select("id", "text"), "candidates")
     pairs = members.where("rep <> hub").where(near("n", "hub_n")).select(F.col("rep").alias("a"), "hub").distinct()
     tested = stored(_verify(pairs, texts, shingle), "tested")
-    linked = f"100 * common >= {percent} * whole"
-    label = components(tested.where(linked), "a", "hub")
+    label = joined(label, tested.where(linked))
     first = tested.select(F.col("a").alias("rep"), "hub", (F.col("common") / F.col("whole")).alias("j"))
-    members = stored(members.join(first, ["rep", "hub"], "left").select("key", "rep", "n", F.when(F.col("rep") == F.col("hub"), F.lit(1.0)).otherwise(F.col("j")).alias("j")), "buckets")
-    served = None
+    members = stored(members.join(first, ["rep", "hub"], "left").select("key", "rep", "n", "middle", F.when(F.col("rep") == F.col("hub"), F.lit(1.0)).otherwise(F.col("j")).alias("j")), "buckets")
+    served, fine, turn_no = None, None, 0
     while True:
-        now = members.join(label, members.rep == label.node, "left").select("key", "rep", "n", "j", F.coalesce("component", "rep").alias("component"))
+        turn_no += 1
+        now = members.join(label, "rep")
         parts_of = now.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-        now = stored(now.join(parts_of.drop("parts"), "key"), "unsettled")
+        now = now.join(parts_of.drop("parts"), "key").join(reps.select("rep", "bands", "nibbles"), "rep")
+        members = now = stored(now, "unsettled")  # a bucket in one component needs no further look
+        members = members.select("key", "rep", "n", "middle", "j")
         rest = now.where("component <> main")
         if served is not None:
             rest = rest.join(served, ["key", "rep"], "left_anti")
-        turn = stored(rest.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("rep"), "rep"))).where(F.col("r") <= _HUBS).drop("r", "main"), "hubs")
+        if turn_no == _TRIES + 1:
+            many = now.groupBy("key").agg((F.count("*") * F.count_if(F.col("component") != F.col("main"))).alias("m")).where(F.col("m") > _MANY).select("key")
+            doubtful = now.join(many, "key", "left_semi").select("rep").distinct()
+            fine = stored(texts.join(doubtful, texts.id == doubtful.rep, "left_semi").mapInArrow(_refine(shingle), f"fine_of {kind}, fine array<long>").dropDuplicates(["fine_of"]), "fine")
+        if fine is not None:
+            now = now.join(fine, now.rep == fine.fine_of, "left").drop("fine_of")
+            rest = rest.join(fine, rest.rep == fine.fine_of, "left").drop("fine_of")
+        else:
+            now, rest = (x.withColumn("fine", F.lit(None).cast("array<long>")) for x in (now, rest))
+        some, most = (now.where("component = main"), _TRY) if turn_no <= _TRIES else (rest, _HUBS)
+        order = Window.partitionBy("key").orderBy(*([F.desc("middle")] if turn_no == 1 else []), F.xxhash64("rep", F.lit(turn_no)), "rep")
+        turn = stored(some.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).drop("r"), "hubs")
         if turn.isEmpty():
             break
-        done = turn.select("key", "rep")
-        served = done if served is None else served.unionByName(done)
-        hubs = turn.select("key", F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("j").alias("hub_j"), F.col("component").alias("hub_component"))
-        apart = F.coalesce(F.abs(F.col("j") - F.col("hub_j")) > 1 - percent / 100 + 1e-9, F.lit(False))
-        pairs = now.join(hubs, "key").where("component <> hub_component").where(near("n", "hub_n")).where(~apart)
-        pairs = pairs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("hub")).distinct()
+        if turn_no > _TRIES:
+            done = turn.select("key", "rep")
+            served = done if served is None else served.unionByName(done)
+        hubs = turn.select("key", *[F.col(c).alias(f"hub_{c}") for c in ("rep", "n", "j", "component", "bands", "nibbles", "fine")])
+        against = rest if turn_no <= _TRIES else now
+        both = against.join(hubs, "key").where(
+            f"component <> hub_component and {near('n', 'hub_n')} and not coalesce(abs(j - hub_j) > {1 - percent / 100 + 1e-9}, false) "
+            f"and not {_unlike('nibbles', 'hub_nibbles', bands * rows, percent)} and key = array_min(array_intersect(bands, hub_bands)) "  # in one of their buckets only
+            f"and not {_unlike('fine', 'hub_fine', _FINE, percent)}"
+        )
+        pairs = both.select(F.least("rep", "hub_rep").alias("a"), F.greatest("rep", "hub_rep").alias("hub")).distinct()
         seen = tested.select(F.least("a", "hub").alias("a"), F.greatest("a", "hub").alias("hub"))
         pairs = stored(pairs.join(seen, ["a", "hub"], "left_anti"), "pairs")
         if pairs.isEmpty():
@@ -189,9 +256,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         new = stored(_verify(pairs, texts, shingle), "tested")
         tested = tested.unionByName(new)
         if not new.where(linked).isEmpty():
-            label = components(tested.where(linked), "a", "hub")
-    label = named.join(label, F.col("a") == F.col("node"), "left").select("n", "s1", "s2", F.coalesce("component", "a").alias("component"))
-    out = described.join(label, ["n", "s1", "s2"], "left")
+            label = joined(label, new.where(linked))
+    named = reps.select("rep", "n", "s1", "s2").join(label, "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
+    out = described.select("id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
     component = F.when(F.col("id").isNotNull(), component)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
