@@ -24,7 +24,7 @@ from .textcore import buffers, parts
 
 ORDERS, BITS = (3, 4, 5), 20
 #: Labelled rows of each label that training uses at most, and features at most.
-SAMPLE, FEATURES = 5000, 60_000
+SAMPLE, FEATURES = 3000, 12_000
 
 _FORM = np.arange(256, dtype=np.uint8)
 _FORM[65:91] += 32
@@ -104,9 +104,9 @@ def logistic(row: np.ndarray, column: np.ndarray, value: np.ndarray, y: np.ndarr
     w, b = np.zeros(width), 0.0
     m, v = np.zeros(width + 1), np.zeros(width + 1)
     for t in range(1, steps + 1):
-        z = b + np.bincount(row, weights=w[column] * value, minlength=len(y))
+        z = b + np.bincount(row, weights=w.astype(np.float32)[column] * value, minlength=len(y))
         gap = 1 / (1 + np.exp(-np.clip(z, -60, 60))) - y
-        g = np.append(np.bincount(column, weights=gap[row] * value, minlength=width) + penalty * w, gap.sum()) / len(y)
+        g = np.append(np.bincount(column, weights=gap.astype(np.float32)[row] * value, minlength=width) + penalty * w, gap.sum()) / len(y)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
         w, b = w - step[:-1], b - step[-1]
@@ -127,9 +127,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_co
         chosen = some if chosen is None else chosen.unionByName(some)
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")).where("text is not null")
     rows = stored(texts.join(F.broadcast(chosen), "i").select("label", "text"), "labelled")  # 2 * sample rows at most
-    rows = rows.coalesce(8)  # 8 pairs of vectors at most go to the driver
+    rows = rows.coalesce(6)  # 6 pairs of vectors at most go to the driver
     other = toxic = np.zeros((1 << BITS) + 1)
-    for part in rows.mapInArrow(_totals, "other binary, toxic binary").collect():
+    for part in rows.mapInArrow(_totals, "other binary, toxic binary").toLocalIterator():  # one pair at a time
         other, toxic = other + np.frombuffer(part.other, np.int32), toxic + np.frombuffer(part.toxic, np.int32)
     (toxic, n1), (other, n0) = ((x[:-1], x[-1]) for x in (toxic, other))
     if not n1 or not n0:
@@ -144,10 +144,10 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_co
     wanted[kept] = True
     got = rows.mapInArrow(_rows(wanted), "label int, features binary").collect()  # bounded by sample and FEATURES
     y = np.array([x.label for x in got], dtype=np.float64)
-    features = [np.frombuffer(x.features, np.int32) for x in got]
-    row = np.repeat(np.arange(len(got)), [len(x) for x in features])
-    feature = np.concatenate(features) if features else np.zeros(0, np.int32)
-    w, b = logistic(row, np.searchsorted(kept, feature), r[feature], y, len(kept))
+    row = np.repeat(np.arange(len(got), dtype=np.int32), [len(x.features) // 4 for x in got])
+    feature = np.frombuffer(b"".join(x.features for x in got), np.int32)
+    del got
+    w, b = logistic(row, np.searchsorted(kept, feature).astype(np.int32), r[feature].astype(np.float32), y, len(kept))
     weights = np.zeros(1 << BITS)
     weights[kept] = w * r[kept]
     return Classifier(weights.astype(np.float32), float(b))
