@@ -1,4 +1,4 @@
-"""All queries of the library by name, with their SQL oracles."""
+"""All queries of the library by name, with their SQL."""
 
 from __future__ import annotations
 
@@ -6,10 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .mining import QUERIES
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Item-based collaborative filtering over all ratings."""
+    return QUERIES["cf_predictions"][0](spark, sf_dir)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for name, (f, _) in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in QUERIES.items() if sql}
