@@ -24,7 +24,7 @@ from .textcore import buffers, parts
 
 ORDERS, BITS = (3, 4, 5), 20
 #: Labelled rows of each label that training uses at most, and features at most.
-SAMPLE, FEATURES = 3000, 12_000
+SAMPLE, FEATURES = 3000, 4000
 
 _FORM = np.arange(256, dtype=np.uint8)
 _FORM[65:91] += 32
@@ -129,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_co
     rows = stored(texts.join(F.broadcast(chosen), "i").select("label", "text"), "labelled")  # 2 * sample rows at most
     rows = rows.coalesce(6)  # 6 pairs of vectors at most go to the driver
     other = toxic = np.zeros((1 << BITS) + 1)
-    for part in rows.mapInArrow(_totals, "other binary, toxic binary").toLocalIterator():  # one pair at a time
+    for part in rows.mapInArrow(_totals, "other binary, toxic binary").collect():
         other, toxic = other + np.frombuffer(part.other, np.int32), toxic + np.frombuffer(part.toxic, np.int32)
     (toxic, n1), (other, n0) = ((x[:-1], x[-1]) for x in (toxic, other))
     if not n1 or not n0:
