@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import release, stored
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -33,5 +33,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         before = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    release(edges.sparkSession)
     pairs = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return pairs.unionByName(pairs.select(F.col("component").alias("node"), "component").distinct())

@@ -24,7 +24,7 @@ from .textcore import buffers, parts
 
 ORDERS, BITS = (3, 4, 5), 20
 #: Labelled rows of each label that training uses at most, and features at most.
-SAMPLE, FEATURES = 3000, 4000
+SAMPLE, FEATURES = 3000, 2500
 
 _FORM = np.arange(256, dtype=np.uint8)
 _FORM[65:91] += 32
@@ -128,12 +128,13 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_co
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")).where("text is not null")
     rows = stored(texts.join(F.broadcast(chosen), "i").select("label", "text"), "labelled")  # 2 * sample rows at most
     rows = rows.coalesce(6)  # 6 pairs of vectors at most go to the driver
-    other = toxic = np.zeros((1 << BITS) + 1)
+    other, toxic = np.zeros((1 << BITS) + 1, np.int32), np.zeros((1 << BITS) + 1, np.int32)
     for part in rows.mapInArrow(_totals, "other binary, toxic binary").collect():
-        other, toxic = other + np.frombuffer(part.other, np.int32), toxic + np.frombuffer(part.toxic, np.int32)
-    (toxic, n1), (other, n0) = ((x[:-1], x[-1]) for x in (toxic, other))
+        other += np.frombuffer(part.other, np.int32)
+        toxic += np.frombuffer(part.toxic, np.int32)
+    (toxic, n1), (other, n0) = ((x[:-1].astype(np.float32), float(x[-1])) for x in (toxic, other))
     if not n1 or not n0:
-        return Classifier(np.zeros(1 << BITS), 60.0 if n1 else -60.0)
+        return Classifier(np.zeros(1 << BITS, np.float32), 60.0 if n1 else -60.0)
     p, q = toxic + 1, other + 1
     r = np.log(p / p.sum()) - np.log(q / q.sum())
     share = (toxic + other) / (n1 + n0)
@@ -148,9 +149,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_co
     feature = np.frombuffer(b"".join(x.features for x in got), np.int32)
     del got
     w, b = logistic(row, np.searchsorted(kept, feature).astype(np.int32), r[feature].astype(np.float32), y, len(kept))
-    weights = np.zeros(1 << BITS)
+    weights = np.zeros(1 << BITS, np.float32)
     weights[kept] = w * r[kept]
-    return Classifier(weights.astype(np.float32), float(b))
+    return Classifier(weights, float(b))
 
 
 def _score(model: Classifier):
