@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import release, stored
 from .components import components
 from .textcore import buffers, mix64, parts, shingles, words
 
@@ -194,7 +194,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = members.join(hubs, "key").select("key", "rep", "n", "middle", F.col("first.rep").alias("hub"), F.col("first.n").alias("hub_n"))
     wanted = members.select("rep").distinct()
     label = stored(wanted.select("rep", F.col("rep").alias("component")), "labels")
-    texts = stored(source.join(wanted, source.id == wanted.rep).select("id", "text"), "candidates")
+    release(source.sparkSession)
+    # Merged whatever the ids' number, so the plan and what it moves are alike at every size.
+    texts = stored(source.join(wanted.hint("merge"), source.id == wanted.rep).select("id", "text"), "candidates")
     linked = f"100 * common >= {percent} * whole"
 
     def near(n: str, m: str) -> str:
@@ -215,6 +217,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = stored(members.join(first, ["rep", "hub"], "left").select("key", "rep", "n", "middle", F.when(F.col("rep") == F.col("hub"), F.lit(1.0)).otherwise(F.col("j")).alias("j")), "buckets")
     served, fine, turn_no = None, None, 0
     while True:
+        release(source.sparkSession)
         turn_no += 1
         now = members.join(label, "rep")
         parts_of = now.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
