@@ -61,39 +61,72 @@ def present(raw: np.ndarray, at: np.ndarray, wanted: np.ndarray) -> tuple[np.nda
 
 @dataclass
 class Classifier:
-    """Weights by hashed n-gram (r times the regression's weight) and the intercept."""
+    """Weights (r times the regression's weight) of hashed n-grams, the features, and the intercept."""
 
+    features: np.ndarray
     weights: np.ndarray
     intercept: float
 
-    def score(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-        row, feature = present(raw, at, self.weights != 0)
-        z = self.intercept + np.bincount(row, weights=self.weights[feature], minlength=len(at) - 1)
+    def table(self) -> np.ndarray:
+        dense = np.zeros(1 << BITS, np.float32)
+        dense[self.features] = self.weights
+        return dense
+
+    def score(self, raw: np.ndarray, at: np.ndarray, table: np.ndarray) -> np.ndarray:
+        row, feature = present(raw, at, table != 0)
+        z = self.intercept + np.bincount(row, weights=table[feature], minlength=len(at) - 1)
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
+#: Features whose counts are added up by one group.
+_CHUNK_BITS = 14
+
+
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many other and toxic texts there are and have each feature, one pair of vectors for a task."""
-    counts, every, texts = np.zeros((2, 1 << BITS), np.int32), np.ones(1 << BITS, bool), np.zeros(2, np.int32)
+    """How many other and toxic texts have each feature, a pair of vectors for each chunk of features."""
+    counts, every = np.zeros((2, 1 << BITS), np.int32), np.ones(1 << BITS, bool)
     for batch in batches:
         raw, at = buffers(batch.column("text"))
         label = np.asarray(batch.column("label").to_pylist(), dtype=np.int64)
-        texts += np.bincount(label, minlength=2).astype(np.int32)
         for a, b in parts(at, 1 << 20):
             row, feature = present(raw[at[a] : at[b]], at[a : b + 1] - at[a], every)
             for y in (0, 1):
                 counts[y] += np.bincount(feature[label[a + row] == y], minlength=1 << BITS).astype(np.int32)
-    yield pa.RecordBatch.from_pydict({"other": [np.append(counts[0], texts[0]).tobytes()], "toxic": [np.append(counts[1], texts[1]).tobytes()]}, pa.schema([("other", pa.binary()), ("toxic", pa.binary())]))
+    chunks = counts.reshape(2, -1, 1 << _CHUNK_BITS)
+    blobs = [pa.array([x.tobytes() for x in chunks[y]], pa.binary()) for y in (0, 1)]
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(chunks.shape[1], dtype=np.int32)), *blobs], ["chunk", "other", "toxic"])
+
+
+_CHOSEN = pa.schema([("feature", pa.int32()), ("other", pa.int64()), ("toxic", pa.int64()), ("sure", pa.float64())])
+
+
+def _choose(n0: int, n1: int, gate: float):
+    """The features of a chunk whose shares differ, and the chunk's sums as feature -1."""
+
+    def run(table: pa.Table) -> pa.Table:
+        other, toxic = (sum(np.frombuffer(x, np.int32).astype(np.int64) for x in table.column(c).to_pylist()) for c in ("other", "toxic"))
+        share = (toxic + other) / (n1 + n0)
+        sure = np.abs(toxic / n1 - other / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
+        kept = np.flatnonzero(sure >= gate)
+        first = table.column("chunk")[0].as_py() << _CHUNK_BITS
+        columns = [np.append(kept + first, -1), np.append(other[kept], other.sum()), np.append(toxic[kept], toxic.sum()), np.append(sure[kept], 0.0)]
+        return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(columns, _CHOSEN.types, strict=True)], schema=_CHOSEN)
+
+    return run
+
 
+def _rows(kept: np.ndarray):
+    """The features of each text, as places in ``kept``."""
 
-def _rows(wanted: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.zeros(1 << BITS, bool)
+        wanted[kept] = True
         for batch in batches:
             raw, at = buffers(batch.column("text"))
             for a, b in parts(at, 1 << 20):
                 row, feature = present(raw[at[a] : at[b]], at[a : b + 1] - at[a], wanted)
-                cut = np.searchsorted(row, np.arange(b - a + 1))
-                blobs = [feature[i:j].astype(np.int32).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
+                place, cut = np.searchsorted(kept, feature).astype(np.int16), np.searchsorted(row, np.arange(b - a + 1))
+                blobs = [place[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("label").slice(a, b - a).cast(pa.int32()), pa.array(blobs, pa.binary())], ["label", "features"])
 
     return run
@@ -127,39 +160,36 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_co
         chosen = some if chosen is None else chosen.unionByName(some)
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")).where("text is not null")
     rows = stored(texts.join(F.broadcast(chosen), "i").select("label", "text"), "labelled")  # 2 * sample rows at most
-    rows = rows.coalesce(6)  # 6 pairs of vectors at most go to the driver
-    other, toxic = np.zeros((1 << BITS) + 1, np.int32), np.zeros((1 << BITS) + 1, np.int32)
-    for part in rows.mapInArrow(_totals, "other binary, toxic binary").collect():
-        other += np.frombuffer(part.other, np.int32)
-        toxic += np.frombuffer(part.toxic, np.int32)
-    (toxic, n1), (other, n0) = ((x[:-1].astype(np.float32), float(x[-1])) for x in (toxic, other))
+    n = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+    n0, n1 = n.get(0, 0), n.get(1, 0)
+    none = np.zeros(0, np.int32)
     if not n1 or not n0:
-        return Classifier(np.zeros(1 << BITS, np.float32), 60.0 if n1 else -60.0)
-    p, q = toxic + 1, other + 1
-    r = np.log(p / p.sum()) - np.log(q / q.sum())
-    share = (toxic + other) / (n1 + n0)
-    sure = np.abs(toxic / n1 - other / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
-    kept = np.flatnonzero(sure >= gate)
-    kept = np.sort(kept[np.argsort(-sure[kept], kind="stable")[:FEATURES]])
-    wanted = np.zeros(1 << BITS, bool)
-    wanted[kept] = True
-    got = rows.mapInArrow(_rows(wanted), "label int, features binary").collect()  # bounded by sample and FEATURES
+        return Classifier(none, none, 60.0 if n1 else -60.0)
+    counted = rows.coalesce(6).mapInArrow(_totals, "chunk int, other binary, toxic binary")
+    chosen = stored(counted.groupBy("chunk").applyInArrow(_choose(n0, n1, gate), "feature int, other long, toxic long, sure double"), "features")
+    sums = chosen.where("feature < 0").agg(F.sum("other"), F.sum("toxic")).first()
+    best = sorted(chosen.where("feature >= 0").orderBy(F.desc("sure"), "feature").limit(FEATURES).collect())
+    if not best:
+        return Classifier(none, none, float(np.log(n1 / n0)))
+    kept = np.array([x.feature for x in best], np.int32)
+    p, q = ((np.array([x[c] for x in best]) + 1) / (sums[i] + (1 << BITS)) for c, i in (("toxic", 1), ("other", 0)))
+    r = np.log(p) - np.log(q)
+    got = rows.mapInArrow(_rows(kept), "label int, features binary").collect()  # bounded by sample and FEATURES
     y = np.array([x.label for x in got], dtype=np.float64)
-    row = np.repeat(np.arange(len(got), dtype=np.int32), [len(x.features) // 4 for x in got])
-    feature = np.frombuffer(b"".join(x.features for x in got), np.int32)
+    row = np.repeat(np.arange(len(got), dtype=np.int32), [len(x.features) // 2 for x in got])
+    column = np.frombuffer(b"".join(x.features for x in got), np.int16)
     del got
-    w, b = logistic(row, np.searchsorted(kept, feature).astype(np.int32), r[feature].astype(np.float32), y, len(kept))
-    weights = np.zeros(1 << BITS, np.float32)
-    weights[kept] = w * r[kept]
-    return Classifier(weights, float(b))
+    w, b = logistic(row, column, r[column].astype(np.float32), y, len(kept))
+    return Classifier(kept, (w * r).astype(np.float32), float(b))
 
 
 def _score(model: Classifier):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = model.table()
         for batch in batches:
             raw, at = buffers(batch.column(1))
             for a, b in parts(at):
-                p = model.score(raw[at[a] : at[b]], at[a : b + 1] - at[a])
+                p = model.score(raw[at[a] : at[b]], at[a : b + 1] - at[a], weights)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["id", "score", "predicted"])
 
     return run
@@ -176,10 +206,11 @@ def without_toxic(docs: DataFrame, model: Classifier, text_col: str = "text") ->
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = model.table()
         for batch in batches:
             raw, starts = buffers(batch.column(at))
             for a, b in parts(starts):
-                clean = model.score(raw[starts[a] : starts[b]], starts[a : b + 1] - starts[a]) < 0.5
+                clean = model.score(raw[starts[a] : starts[b]], starts[a : b + 1] - starts[a], weights) < 0.5
                 yield batch.slice(a, b - a).filter(pa.array(clean))
 
     return docs.mapInArrow(run, docs.schema)
