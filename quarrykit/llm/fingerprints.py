@@ -68,11 +68,11 @@ def from_text(text: Column) -> Column:
     """The sketch that ``to_text`` wrote."""
     digits = F.hex(F.unbase64(text))
     steps = F.when(F.length(digits) > 0, F.sequence(F.lit(1), F.length(digits), F.lit(16))).otherwise(F.expr("cast(array() as array<int>)"))
-    wrap = F.lit(1 << 64).cast("decimal(38,0)")
+    wrap = F.lit(str(1 << 64)).cast("decimal(38,0)")
 
     def number(i: Column) -> Column:
         x = F.conv(F.substring(digits, i, F.lit(16)), 16, 10).cast("decimal(38,0)")
-        return F.when(x >= F.lit(1 << 63).cast("decimal(38,0)"), x - wrap).otherwise(x).cast("bigint")
+        return F.when(x >= F.lit(str(1 << 63)).cast("decimal(38,0)"), x - wrap).otherwise(x).cast("bigint")
 
     return F.transform(steps, number)
 

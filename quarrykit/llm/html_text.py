@@ -197,6 +197,8 @@ def features(page: list[Block]) -> list[tuple]:
     """What the tree sees of each block; before the first and after the last stands an empty block."""
     none = Block("", 0, 0, 0, 0)
     out = []
+    if not page:
+        return out
     for b, x, a in zip([none, *page[:-1]], page, [*page[1:], none], strict=True):
         out.append((x.zone, x.kind, x.words, x.density, b.words, b.density, a.words, a.density))
     return out

@@ -264,14 +264,16 @@ class WarcReader(DataSourceReader):
         self.equal: dict[str, set] = {}
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        rest = []
         for f in filters:
             name = f.attribute[0] if hasattr(f, "attribute") and len(f.attribute) == 1 else None
             if isinstance(f, EqualTo) and name in _HEADERS:
                 self.equal[name] = self.equal.get(name, {f.value}) & {f.value}
             elif isinstance(f, In) and name in _HEADERS:
                 self.equal[name] = self.equal.get(name, set(f.value)) & set(f.value)
-            elif not (isinstance(f, IsNotNull) and name in self.equal):
-                yield f
+            else:
+                rest.append((f, name))
+        return [f for f, name in rest if not (isinstance(f, IsNotNull) and name in self.equal)]
 
     def partitions(self) -> list[Files]:
         out, held, size = [], [], 0

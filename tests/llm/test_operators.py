@@ -194,7 +194,7 @@ def test_warc_reader_skips_and_pushes_down(spark, tmp_path, monkeypatch):
         assert only == ["<urn:page:1>"], name
     rows = warc.read_warc(spark, f"file://{tmp_path}", ["warc_type", "record_id", "payload_bytes"]).where("warc_type = 'response'")
     assert sorted(r.payload_bytes for r in rows.collect()) == [500_000] * 3
-    assert "Filter" not in rows._jdf.queryExecution().executedPlan().toString()  # the reader has taken the predicate
+    assert " Filter " not in rows._jdf.queryExecution().executedPlan().toString()  # the reader has taken the predicate
     assert warc.read_warc(spark, f"file://{tmp_path}").where("warc_type in ('warcinfo', 'revisit') and target_uri = 'http://b'").count() == 3
     inflated = []
     plain = warc.zlib.decompressobj
