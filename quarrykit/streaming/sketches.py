@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from ..functions.scalar import trailing_zeros
 from ..operators import sketch
@@ -78,8 +78,13 @@ def session_counts(events: DataFrame, ts: str, gap: str, late: str, key: str) ->
     return sketch.sessions(rows, F.col("_ts"), gap, key)
 
 
-class LineStreamReader(SimpleDataSourceStreamReader):
-    """Hands out a text file's lines, ``size`` for each request, in order, and none once they have run out."""
+class Lines(InputPartition):
+    def __init__(self, start: int, end: int):
+        self.start, self.end = start, end
+
+
+class LineStreamReader(DataSourceStreamReader):
+    """A text file's lines in order; line i belongs to batch i div ``size``. Each batch of lines is a task of its own."""
 
     def __init__(self, options: dict):
         self.path, self.size = options["path"], int(options.get("size", 100))
@@ -87,21 +92,21 @@ class LineStreamReader(SimpleDataSourceStreamReader):
     def initialOffset(self) -> dict:
         return {"line": 0}
 
-    def _lines(self, start: int, end: int):
+    def latestOffset(self) -> dict:
+        with open(self.path) as f:
+            return {"line": sum(1 for _ in f)}
+
+    def partitions(self, start: dict, end: dict) -> list[Lines]:
+        return [Lines(i, min(i + self.size, end["line"])) for i in range(start["line"], end["line"], self.size)]
+
+    def read(self, partition: Lines):
         with open(self.path) as f:
             for i, line in enumerate(f):
-                if i >= end:
+                if i >= partition.end:
                     return
-                if i >= start:
+                if i >= partition.start:
                     yield (i, i // self.size, line.rstrip())
 
-    def read(self, start: dict):
-        rows = list(self._lines(start["line"], start["line"] + self.size))
-        return iter(rows), {"line": rows[-1][0] + 1 if rows else start["line"]}
-
-    def readBetweenOffsets(self, start: dict, end: dict):
-        return self._lines(start["line"], end["line"])
-
     def commit(self, end: dict) -> None:
         pass
 
@@ -116,7 +121,7 @@ class LineStream(DataSource):
     def schema(self) -> str:
         return "seq long, batch long, user string"
 
-    def simpleStreamReader(self, schema) -> LineStreamReader:
+    def streamReader(self, schema) -> LineStreamReader:
         return LineStreamReader(self.options)
 
 
