@@ -6,23 +6,29 @@ released the one with the earliest deadline. On one processor that meets all dea
 whole block ahead of or behind its weight. When a source is used up its phase ends, and the others go on with their
 weights scaled up; every row gets its place, none is dropped or repeated.
 
-The schedule of a phase repeats after q slots, so the driver works out q slots for each source and no more; the
-place of a row follows from its block by arithmetic.
+Weights are held as exact whole numbers, so the bound holds against the target weights at any length, and every source
+has a weight of its own. The driver works out the schedule slot by slot and writes it out in pieces; rows join their
+block's slot.
 """
 
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import islice
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffled_key, with_rank
+from .common import new_folder, shuffled_key, with_rank
 
-#: Rows of a block; slots after which a schedule repeats; sources with a weight of their own, the largest ones. Those
-#: beyond share one weight. The schedule sent to tasks has MOST_SOURCES * PERIOD numbers at most.
-BLOCK, PERIOD, MOST_SOURCES = 16, 2048, 256
+#: Rows of a block; slots of the schedule that the driver holds at once.
+BLOCK, PERIOD = 16, 1 << 20
+_PLAN = "class int, block long, phase int, release long, deadline long, slot long, before long"
+_LONGEST = 2**63 - 1
 
 
 def quantised(weights: list[float], period: int) -> list[int]:
@@ -42,85 +48,96 @@ def windows(j: int, p: int, q: int) -> tuple[int, int]:
     return (j - 1) * q // p, -(-j * q // p)
 
 
-def schedule(shares: list[int]) -> list[list[int]]:
-    """For each source the slots of its blocks in one period, by earliest deadline first."""
-    period = sum(shares)
-    waiting = [(0, i, 1) for i in range(len(shares))]
+def turns(order: Iterator[int], shares: list[int], total: int) -> Iterator[tuple[int, int]]:
+    """(source, block from 1) slot by slot, without end, by earliest deadline first. ``order`` gives the sources by falling
+    share, ``total`` is the sum of their shares. Only sources that have had a turn cost anything."""
+    waiting: list[tuple[int, int, int]] = []
     ready: list[tuple[int, int, int]] = []
-    slots: list[list[int]] = [[] for _ in shares]
-    for t in range(period):
+    fresh, t = next(order, None), 0
+    while True:
         while waiting and waiting[0][0] <= t:
             _, i, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (windows(j, shares[i], period)[1], i, j))
-        deadline, i, j = heapq.heappop(ready)
+            heapq.heappush(ready, (windows(j, shares[i], total)[1], i, j))
+        first = None if fresh is None else windows(1, shares[fresh], total)[1]  # released at 0, the earliest of the fresh
+        if first is not None and (not ready or first <= ready[0][0]):
+            deadline, i, j, fresh = first, fresh, 1, next(order, None)
+        else:
+            deadline, i, j = heapq.heappop(ready)
         assert t < deadline, "earliest deadline first misses no deadline of a feasible set"
+        yield i, j
+        heapq.heappush(waiting, (windows(j + 1, shares[i], total)[0], i, j + 1))
+        t += 1
+
+
+def schedule(shares: list[int]) -> list[list[int]]:
+    """For each source the slots of its blocks in one period, by earliest deadline first."""
+    order = sorted(range(len(shares)), key=lambda i: (-shares[i], i))
+    slots: list[list[int]] = [[] for _ in shares]
+    for t, (i, _) in enumerate(islice(turns(iter(order), shares, sum(shares)), sum(shares))):
         slots[i].append(t)
-        if j < shares[i]:
-            heapq.heappush(waiting, (windows(j + 1, shares[i], period)[0], i, j + 1))
     return slots
 
 
-def phases(blocks: list[int], weights: list[float], period: int = PERIOD) -> list[dict]:
-    """The phases until all blocks have run; each ends with the last block of one source."""
-    left, done, slot0, out = dict(enumerate(blocks)), [0] * len(blocks), 0, []
-    left = {i: n for i, n in left.items() if n}
-    while left:
-        names = sorted(left)
-        shares = quantised([weights[i] for i in names], period)
-        slots = schedule(shares)
-        ends = {i: (left[i] - 1) // p * period + s[(left[i] - 1) % p] for i, p, s in zip(names, shares, slots, strict=True)}
-        length = min(ends.values()) + 1
-        for i, p, s in zip(names, shares, slots, strict=True):
-            ran = length // period * p + bisect_left(s, length % period)
-            out.append({"phase": len(blocks) - len(left), "source": i, "first": done[i], "last": done[i] + ran, "slot0": slot0, "slots": s})
-            done[i] += ran
-            left[i] -= ran
-        left = {i: n for i, n in left.items() if n}
-        slot0 += length
-    return out
+def planned(counts: list[int], weights: list[float], block: int = BLOCK) -> Iterator[tuple]:
+    """(source, block, phase, release, deadline, slot, rows before) slot by slot until the rows of
+    all sources have run; a phase ends with the last block of one source."""
+    exact = [Fraction(w) for w in weights]
+    unit = lcm(*[x.denominator for x in exact])
+    shares = [int(x * unit) for x in exact]
+    order = sorted((i for i, n in enumerate(counts) if n), key=lambda i: (-shares[i], i))
+    # A linked ring through -1 holds the sources that are left: a used up one goes out in one step.
+    after, back = dict(zip([-1, *order], [*order, -1], strict=True)), dict(zip([*order, -1], [-1, *order], strict=True))
+
+    def left() -> Iterator[int]:
+        i = after[-1]
+        while i != -1:
+            yield i
+            i = after[i]
+
+    done, total, phase, slot0, before = [0] * len(counts), sum(shares[i] for i in order), 0, 0, 0
+    while after[-1] != -1:
+        for t, (i, j) in enumerate(turns(left(), shares, total)):
+            release, deadline = windows(j, shares[i], total)
+            yield i, done[i], phase, slot0 + release, min(slot0 + deadline, _LONGEST), slot0 + t, before
+            before += min(block, counts[i] - done[i] * block)
+            done[i] += 1
+            if done[i] * block >= counts[i]:
+                break
+        after[back[i]], back[after[i]] = after[i], back[i]
+        phase, slot0, total = phase + 1, slot0 + t + 1, total - shares[i]
 
 
 def mixed(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block: int = BLOCK, period: int = PERIOD, temper: float = 0.5, seed: str = "mix") -> DataFrame:
     """(id, source, block, phase, release, deadline, slot, position) of every row; ``position`` runs from 0, gapless.
 
     ``weights`` gives target weights by source, those absent get the smallest given; without it a source of n rows has
-    weight n ** ``temper``. A null source is a source. Rows that repeat each other get a place each. No rows give none.
+    weight n ** ``temper``. ``period`` is how many slots the driver plans at a time; it changes no row. A null source is a source. Rows that repeat each other get a place each. No rows give none.
     """
     spark = docs.sparkSession
     tie = F.crc32(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")))
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), tie.alias("tie"))
-    sizes = docs.groupBy(F.col(source_col).alias("source")).count().orderBy(F.desc("count"), "source").limit(MOST_SOURCES).collect()
-    total = docs.count()
+    sizes = docs.groupBy(F.col(source_col).alias("source")).count().orderBy(F.desc("count"), "source").collect()
     names, counts = [r["source"] for r in sizes], [r["count"] for r in sizes]
-    if total > sum(counts):
-        counts.append(total - sum(counts))
-    asked = [(weights or {}).get(n) for n in names] + [None] * (len(counts) - len(names))
+    asked = [(weights or {}).get(n) for n in names]
     least = min((w for w in asked if w), default=1.0)
     target = [w or least for w in asked] if weights else [n**temper for n in counts]
-    plan = phases([-(-n // block) for n in counts], target, max(period, 4 * len(counts)))
-    ends, before = {}, 0
-    for x in plan:  # rows that stand before a phase: full blocks but for the last one of each source used up
-        ends.setdefault(x["phase"], []).append(x)
-    table = []
-    for k in sorted(ends):
-        ran = 0
-        for x in ends[k]:
-            p = len(x["slots"])
-            table.append((x["source"], k, x["first"], x["last"], x["slot0"], p, before, x["slots"]))
-            ran += min(counts[x["source"]], x["last"] * block) - min(counts[x["source"]], x["first"] * block)
-        before += ran
-    q = max(period, 4 * len(counts))
-    steps = spark.createDataFrame(table, "class int, phase int, first long, last long, slot0 long, p long, before long, slots array<int>")
+    path, plan, fields = new_folder(spark, "mixture"), planned(counts, target, block), [x.split() for x in _PLAN.split(", ")]
+    types = pa.schema([(name, pa.int32() if kind == "int" else pa.int64()) for name, kind in fields])
+    piece = list(islice(plan, period))
+    while True:
+        columns = list(zip(*piece, strict=True)) or [()] * len(fields)
+        piece_rows = pa.table([pa.array(c, x.type) for c, x in zip(columns, types, strict=True)], schema=types)
+        spark.createDataFrame(piece_rows, _PLAN).write.mode("append").parquet(path)
+        if not (piece := list(islice(plan, period))):
+            break
+    steps = spark.read.schema(_PLAN).parquet(path).withColumnRenamed("class", "c").withColumnRenamed("block", "b")
     classes = spark.createDataFrame(list(zip(names, range(len(names)), strict=True)), f"name {dict(rows.dtypes)['source']}, class int")
-    rows = rows.join(F.broadcast(classes), F.col("source").eqNullSafe(F.col("name")), "left").withColumn("class", F.coalesce("class", F.lit(len(names)))).drop("name")
+    rows = rows.join(F.broadcast(classes), F.col("source").eqNullSafe(F.col("name"))).drop("name")  # a row for each source, which the driver holds too
     rows = rows.withColumn("key", shuffled_key(seed, F.col("id"), F.col("tie")))
     rows = with_rank(rows, ["class"], F.conv(F.substring("key", 1, 3), 16, 10).cast("int"), ["key", "id", "source", "tie"], "rank")
     rows = rows.withColumn("block", F.expr(f"rank div {block}"))
-    rows = rows.join(F.broadcast(steps).withColumnRenamed("class", "c"), F.expr("class = c and block >= first and block < last"))
-    rows = rows.withColumn("j", F.expr("block - first"))
-    rows = rows.withColumn("slot", F.expr(f"slot0 + j div p * {q} + slots[cast(j % p as int)]"))
+    rows = rows.join(steps, F.expr("class = c and block = b"))
     return rows.select(
-        F.col("id").alias(id_col), F.col("source").alias(source_col), "block", "phase",
-        F.expr(f"slot0 + j * {q} div p").alias("release"), F.expr(f"slot0 + ((j + 1) * {q} + p - 1) div p").alias("deadline"), "slot",
-        F.expr(f"before + (slot - slot0) * {block} + rank % {block}").alias("position"),
+        F.col("id").alias(id_col), F.col("source").alias(source_col), "block", "phase", "release", "deadline", "slot",
+        F.expr(f"before + rank % {block}").alias("position"),
     )

@@ -363,6 +363,27 @@ def test_mixture_keeps_weights_and_rows(spark):
     assert mixing.mixed(odd(spark).limit(0)).count() == 0
 
 
+def test_mixture_keeps_exact_weights_of_many_sources(spark):
+    heavy = {f"s{i:03}": 10.0 if i == 0 else 1.0 for i in range(20)}
+    many = {f"s{i:03}": float(1 + i % 3) for i in range(300)}
+    for weights, rows in ((heavy, 400), (many, 20)):  # rows of a source: slots enough to show a drift, sources past 256
+        n = len(weights) * rows
+        d = spark.range(n).selectExpr("id doc_id", "'x' text", f"format_string('s%03d', id % {len(weights)}) source")
+        got = mixing.mixed(d, weights, block=1, period=5000).orderBy("position").collect()
+        assert [r.position for r in got] == list(range(n)) and len({r.doc_id for r in got}) == n
+        total, seen = int(sum(weights.values())), Counter()
+        for r in got:
+            if r.phase == 0:
+                seen[r.source] += 1
+                assert all(abs(seen[s] * total - int(weights[s]) * (r.position + 1)) < total for s in weights)
+    counts = [33_333] + [3_508] * 19
+    target, seen = [n**0.5 for n in counts], Counter()
+    for source, _, phase, _, _, slot, _ in mixing.planned(counts, target):
+        if phase == 0:
+            seen[source] += 1
+            assert all(abs(seen[i] - w / sum(target) * (slot + 1)) < 1 + 1e-6 for i, w in enumerate(target))
+
+
 # 7: language
 
 
