@@ -555,7 +555,7 @@ def modularity(spark: SparkSession, d: str) -> DataFrame:
 
 @query(None)
 def girvan_newman(spark: SparkSession, d: str) -> DataFrame:
-    parts, value = graph.girvan_newman(_edges(spark, d), most_rounds=4)
+    parts, value = graph.girvan_newman(_edges(spark, d))
     return parts.withColumn("modularity", F.lit(value))
 
 

@@ -160,6 +160,47 @@ def test_communities(spark):
     assert graph.co_occurrence_edges(frame(spark, [(1, "x"), (2, "x"), (1, "y"), (2, "y"), (3, "x")], "item int, element string"), 2).count() == 2
 
 
+def brute_girvan_newman(pairs):
+    """The modularity and the parts after each round, by counting shortest paths from every node."""
+    nodes, left, out = sorted(set("".join(pairs))), set(pairs), []
+    while True:
+        near = {v: [w for w in nodes if v + w in left or w + v in left] for v in nodes}
+        used, part = dict.fromkeys(left, 0.0), {}
+        for s in nodes:
+            paths = {s: [[s]]}
+            level = [s]
+            while level:
+                found = {}
+                for v in level:
+                    for w in near[v]:
+                        if w not in paths:
+                            found.setdefault(w, []).extend([*p, w] for p in paths[v])
+                paths.update(found)
+                level = list(found)
+            for t, ways in paths.items():
+                for p in ways:
+                    for a, b in zip(p, p[1:]):
+                        used[min(a + b, b + a)] += 0.5 / len(ways)
+            part[s] = min(paths)
+        inside = sum(part[a] == part[b] for a, b in pairs) / len(pairs)
+        degree = [sum(part[v] == c for e in pairs for v in e) / 2 / len(pairs) for c in set(part.values())]
+        out.append((inside - sum(x * x for x in degree), part))
+        if not left:
+            return out
+        worst = max(round(x, 8) for x in used.values())
+        left = {e for e in left if round(used[e], 8) < worst}
+
+
+def test_girvan_newman_goes_on_to_the_last_edge(spark):
+    pairs = "ad af ah ai be bf bi cf cg ch ci df dg ef eg eh fi gh gi".split()
+    rounds = brute_girvan_newman(pairs)
+    top = max(range(len(rounds)), key=lambda i: rounds[i][0])
+    assert top == 11
+    parts, found = graph.girvan_newman(edges(spark, pairs))
+    assert found == pytest.approx(rounds[top][0]) and {r.id: r.component for r in parts.collect()} == rounds[top][1]
+    graph.girvan_newman(edges(spark, ["ab", "aa"]))  # a loop at a node never goes, yet the rounds end
+
+
 def stream(spark, users, size=4):
     rows = frame(spark, [(i, u) for i, u in enumerate(users)], "event_id long, user string")
     return readers.batches(rows, size, F.expr("event_id div 3"), ["event_id"]).select("seq", "batch", "user")
