@@ -6,11 +6,11 @@ Parquet and read again as the next one's ``docs``. All but the last return the c
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrykit.llm import toxicity
-from quarrykit.llm.common import stored, table
+from quarrykit.llm.common import stored, table, with_rank
 from quarrykit.llm.decontaminate import leaks
 from quarrykit.llm.mixing import mixed
 from quarrykit.llm.near_dups import near_duplicates
@@ -40,15 +40,30 @@ def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def in_mixed_order(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, sorted by their place in the mixture; rows without an id follow in no order of their own."""
-    place = mixed(docs.where("doc_id is not null")).select(F.col("doc_id").alias("_id"), F.col("position").alias("_place"))
-    rows = docs.join(place, docs["doc_id"] == place["_id"], "left").orderBy(place["_place"].asc_nulls_last())
-    return rows.select(*[docs[c] for c in docs.columns])
+    """All documents, sorted by their place in the mixture; rows without an id follow in no order of their own. Rows that
+    repeat an id in a source take that id's places there, one each."""
+    named = docs.where("doc_id is not null")
+    place = mixed(named).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("position").alias("_place"))
+    place = place.withColumn("_m", F.row_number().over(Window.partitionBy("_id").orderBy("_source", "_place"))).drop("_source")
+    named = named.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("source", F.xxhash64(*docs.columns))))
+    rows = named.join(place, (F.col("doc_id") == F.col("_id")) & (F.col("_n") == F.col("_m"))).select(*docs.columns, "_place")
+    rows = rows.unionByName(docs.where("doc_id is null").withColumn("_place", F.lit(None).cast("long")))
+    return rows.orderBy(F.col("_place").asc_nulls_last()).select(*docs.columns)
+
+
+def _stored_order(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_order``, 32 hex digits that rise along the part files of the table and the rows in each."""
+    part = F.regexp_extract(F.col("_metadata.file_name"), "part-([0-9]+)", 1).cast("long")
+    rows = docs.select("*", part.alias("_part"), F.col("_metadata.row_index").alias("_row"))
+    rows = with_rank(rows, [], F.expr("_part * 1048576 + _row div 4096"), ["_part", "_row"], "_place")
+    return rows.withColumn("_order", F.expr("concat(lpad(hex(_place * 4096 div _place_of), 3, '0'), lpad(hex(_place), 29, '0'))"))
 
 
 def into_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard of every document and its slot there; every shard matches the sources' mixture."""
-    return proportional_shards(docs, SHARDS).select("doc_id", "source", "size", "text_crc32", "position", "shard", "slot")
+    """The shard of every document and its slot there; every shard matches the sources' mixture, and the documents of a
+    source are dealt in the order in which ``docs`` was stored, that of the mixture."""
+    rows = _stored_order(docs.select("doc_id", "text", "source", "_metadata"))
+    return proportional_shards(rows, SHARDS, key="_order").select("doc_id", "source", "size", "text_crc32", "position", "shard", "slot")
 
 
 STAGES = [

@@ -29,17 +29,18 @@ def interleaved(rows: DataFrame, stratum: str, key: Column, name: str = "positio
     return rows.select(*columns, name, f"{name}_of")
 
 
-def proportional_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", stratum: str = "source", seed: str = "shards") -> DataFrame:
+def proportional_shards(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", stratum: str = "source", seed: str = "shards", key: str | None = None) -> DataFrame:
     """(id, size, text_crc32, stratum, position, shard, slot) of every row of ``docs``.
 
     ``size`` is the text's UTF-8 bytes plus 16, ``text_crc32`` unsigned; a null text has none and counts as empty.
     ``slot`` numbers a shard's rows from 0 without gaps; shard counts differ by one at most. Rows without an id, with a
     repeated id or without a stratum are dealt like any other. No rows give none. Equal texts are not kept together: a
-    group of copies larger than a shard could not be, with equal counts.
+    group of copies larger than a shard could not be, with equal counts. ``key`` names a column of 32 hex digits that
+    orders the rows of a stratum; without it a seeded hash does.
     """
     data = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(data) + 16).cast("long").alias("size"), F.crc32(data).cast("long").alias("text_crc32"), F.col(stratum).alias("stratum"))
-    placed = interleaved(rows, "stratum", shuffled_key(seed, F.col("id"), F.col("text_crc32")))
+    rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(data) + 16).cast("long").alias("size"), F.crc32(data).cast("long").alias("text_crc32"), F.col(stratum).alias("stratum"), *([F.col(key).alias("order")] if key else []))
+    placed = interleaved(rows, "stratum", F.col("order") if key else shuffled_key(seed, F.col("id"), F.col("text_crc32")))
     placed = placed.withColumn("shard", F.expr(f"cast(position * {shards} div position_of as int)"))
     placed = placed.withColumn("slot", F.expr(f"position - (cast(shard as long) * position_of + {shards - 1}) div {shards}"))
     return placed.select(F.col("id").alias(id_col), "size", "text_crc32", F.col("stratum").alias(stratum), "position", "shard", "slot")

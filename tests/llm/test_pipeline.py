@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 from quarrykit.llm.common import stored
+from quarrykit.llm.mixing import mixed
 from tests.llm.test_operators import SCHEMA, edited, odd, prose
 
 
@@ -73,3 +74,20 @@ def test_mixing_stage_sorts_by_place(spark, tmp_path):
     docs = spark.createDataFrame([(i, "x", "en", f"s{i % 3}", 1) for i in range(300)], SCHEMA)
     mixed = [r.doc_id for r in corpus_pipeline.in_mixed_order(spark, docs, "").collect()]
     assert sorted(mixed) == list(range(300)) and mixed != list(range(300))
+
+
+def test_mixture_decides_the_shards(spark):
+    docs = spark.createDataFrame([(i, "x%d" % i, "en", f"s{i % 3 % 2}", 1) for i in range(900)], SCHEMA)
+    place = {r.doc_id: r.position for r in mixed(docs).collect()}
+    rows = stored(corpus_pipeline.in_mixed_order(spark, docs, ""))
+    got = corpus_pipeline.into_shards(spark, rows, "").orderBy("position").collect()
+    assert len(got) == 900
+    for source in ("s0", "s1"):
+        in_turn = [place[r.doc_id] for r in got if r.source == source]
+        assert in_turn == sorted(in_turn)
+
+
+def test_mixing_stage_keeps_rows_that_repeat_an_id(spark):
+    docs = spark.createDataFrame([(i % 50, "x%d" % (i % 75), "en", f"s{i % 4}", i % 2) for i in range(300)] + [(None, "y", "en", "s0", 1)] * 2, SCHEMA)
+    mixed_rows = corpus_pipeline.in_mixed_order(spark, docs, "").collect()
+    assert sorted(map(str, mixed_rows)) == sorted(map(str, docs.collect()))
