@@ -5,6 +5,9 @@ typed placeholders, so a question asked again with other values keeps its templa
 tokens of all documents are hash-joined with those of the benchmark. An item leaks into a document if the
 document holds at least ``coverage`` of the item's windows and the slots agree: wherever the item repeats a value,
 the document repeats its own value too (share ``agreement`` of the slots, each value by its most common partner).
+A document may hold an item several times with different values, so besides the whole document each occurrence is
+judged on its own: the hits on one diagonal (place in the document less place in the item), and those on diagonals
+at most ``slack`` apart, which an edited copy is spread over. One that passes is enough.
 
 Windows with fewer than three words that aren't placeholders say nothing and count on neither side. An item shorter
 than a window is one window; one without any telling window can't be found.
@@ -12,12 +15,12 @@ than a window is one window; one without any telling window can't be found.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
 
-SIZE, LITERALS, COVERAGE, AGREEMENT = 5, 3, 0.5, 0.8
+SIZE, LITERALS, COVERAGE, AGREEMENT, SLACK = 5, 3, 0.5, 0.8, 5
 #: Windows of the benchmark up to which it is broadcast (16 bytes each); beyond, both sides are shuffled.
 BROADCAST_ROWS = 2_000_000
 
@@ -62,36 +65,48 @@ def _windows(df: DataFrame, keys: list[str], size: int, literals: int) -> DataFr
     return rows.select(*keys, F.posexplode_outer("hs").alias("pos", "h")).where("h is not null")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = SIZE, literals: int = LITERALS, coverage: float = COVERAGE, agreement: float = AGREEMENT) -> DataFrame:
-    """(id, item_id, found, of, coverage, slots, agreement): one row for each item found in a document.
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = SIZE, literals: int = LITERALS, coverage: float = COVERAGE, agreement: float = AGREEMENT, slack: int = SLACK) -> DataFrame:
+    """(id, item_id, found, of, coverage, slots, agreement): one row for each item found in a document, of the whole
+    document where that passes, else of its best occurrence.
 
     Null and empty texts hold nothing; rows without an id are left out; rows that repeat an id count together; items
     that repeat an id are parts of one item. Empty tables give no rows.
     """
-    source = docs.select(F.col(id_col).alias("doc"), _plain(F.col(text_col)).alias("text")).where("doc is not null and text is not null")
+    source = docs.select(F.col(id_col).alias("doc"), _plain(F.col(text_col)).alias("text")).where("doc is not null and text is not null").withColumn("row", F.xxhash64("text"))
     items = stored(benchmark.select(F.col(item_col).alias("item"), _plain(F.col(item_text)).alias("text")).where("item is not null and text is not null"), "items")
     telling = _windows(items.select("item", canonical(F.col("text")).alias("t")), ["item"], size, literals)
     telling = stored(telling.select("item", F.col("pos").alias("q"), "h"), "benchmark")
     count = telling.count()
     wanted = F.broadcast(telling) if count <= BROADCAST_ROWS else telling
-    here = _windows(source.select("doc", canonical(F.col("text")).alias("t")), ["doc"], size, literals)
-    hits = stored(here.join(wanted, "h").select("doc", "item", "pos", "q", "h"), "hits")
+    here = _windows(source.select("doc", "row", canonical(F.col("text")).alias("t")), ["doc", "row"], size, literals)
+    hits = stored(here.join(wanted, "h").select("doc", "row", "item", "pos", "q", "h"), "hits")
     needed = telling.groupBy("item").agg(F.countDistinct("h").alias("of"))
     found = hits.select("doc", "item", "h").distinct().groupBy("doc", "item").agg(F.count("*").alias("found"))
-    found = found.join(needed, "item").withColumn("coverage", F.col("found") / F.col("of")).where(F.col("coverage") >= coverage)
+    found = found.join(needed, "item").where(F.col("found") / F.col("of") >= coverage).select("doc", "item", "of")
     found = stored(found, "found")
+    # Where it may be found: in the whole document (0), along a band of diagonals (1), along one diagonal (2).
+    start = F.col("pos") - F.col("q")
+    along = Window.partitionBy("doc", "row", "item").orderBy("start")
+    likely = hits.join(found, ["doc", "item"]).withColumn("start", start)
+    likely = likely.withColumn("gap", F.coalesce((F.col("start") - F.lag("start").over(along) > slack).cast("int"), F.lit(0)))
+    likely = likely.withColumn("band", F.sum("gap").over(along))  # a running sum with ties: rows of one diagonal share a band
+    places = F.array(*[F.struct(F.lit(k).alias("kind"), row.cast("long").alias("row"), at.cast("long").alias("at")) for k, row, at in ((0, F.lit(0), F.lit(0)), (1, F.col("row"), F.col("band")), (2, F.col("row"), F.col("start")))])
+    likely = likely.select("doc", "row", "item", "pos", "q", "h", "of", F.explode(places).alias("place"))
+    found = likely.groupBy("doc", "item", "place", "of").agg(F.countDistinct("h").alias("found"))
+    found = stored(found.withColumn("coverage", F.col("found") / F.col("of")).where(F.col("coverage") >= coverage), "places")
     # The slots of what was found: value of the item against value of the document, offset by offset.
     offsets = F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("o")
-    at = hits.join(found.select("doc", "item"), ["doc", "item"], "left_semi").select("doc", "item", "pos", "q", offsets)
-    at = at.select("doc", "item", (F.col("pos") + F.col("o")).alias("p"), (F.col("q") + F.col("o")).alias("q")).distinct()
+    at = likely.join(found.select("doc", "item", "place"), ["doc", "item", "place"], "left_semi").select("doc", "row", "item", "place", "pos", "q", offsets)
+    at = at.select("doc", "row", "item", "place", (F.col("pos") + F.col("o")).alias("p"), (F.col("q") + F.col("o")).alias("q")).distinct()
 
-    def slots(rows: DataFrame, key: str, place: str, value: str) -> DataFrame:
-        every = rows.select(key, F.posexplode_outer(slotted(F.col("text"))).alias(place, value))
+    def slots(rows: DataFrame, keys: list[str], place: str, value: str) -> DataFrame:
+        every = rows.select(*keys, F.posexplode_outer(slotted(F.col("text"))).alias(place, value))
         return every.where(F.substring(value, 1, 1).isin(*MARKS))
 
     suspects = source.join(found.select("doc").distinct(), "doc", "left_semi")
-    pairs = at.join(slots(items, "item", "q", "theirs").distinct(), ["item", "q"]).join(slots(suspects, "doc", "p", "ours").distinct(), ["doc", "p"])
-    votes = pairs.groupBy("doc", "item", "theirs", "ours").agg(F.count("*").alias("n")).groupBy("doc", "item", "theirs").agg(F.max("n").alias("most"), F.sum("n").alias("n"))
-    agreed = votes.groupBy("doc", "item").agg(F.sum("n").alias("slots"), (F.sum("most") / F.sum("n")).alias("agreement"))
-    out = found.join(agreed, ["doc", "item"], "left").withColumn("agreement", F.coalesce("agreement", F.lit(1.0))).where(F.col("agreement") >= agreement)
-    return out.select(F.col("doc").alias(id_col), F.col("item").alias("item_id"), "found", "of", "coverage", F.coalesce("slots", F.lit(0)).alias("slots"), "agreement")
+    pairs = at.join(slots(items, ["item"], "q", "theirs").distinct(), ["item", "q"]).join(slots(suspects, ["doc", "row"], "p", "ours").distinct(), ["doc", "row", "p"])
+    votes = pairs.groupBy("doc", "item", "place", "theirs", "ours").agg(F.count("*").alias("n")).groupBy("doc", "item", "place", "theirs").agg(F.max("n").alias("most"), F.sum("n").alias("n"))
+    agreed = votes.groupBy("doc", "item", "place").agg(F.sum("n").alias("slots"), (F.sum("most") / F.sum("n")).alias("agreement"))
+    out = found.join(agreed, ["doc", "item", "place"], "left").withColumn("agreement", F.coalesce("agreement", F.lit(1.0))).where(F.col("agreement") >= agreement)
+    best = F.min_by(F.struct("found", "of", "coverage", F.coalesce("slots", F.lit(0)).alias("slots"), "agreement"), F.struct(F.least("place.kind", F.lit(1)), -F.col("coverage"), -F.col("agreement"), "place"))
+    return out.groupBy("doc", "item").agg(best.alias("best")).select(F.col("doc").alias(id_col), F.col("item").alias("item_id"), "best.*")

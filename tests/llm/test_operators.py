@@ -156,6 +156,19 @@ def test_leaks_and_reparameterised_questions(spark):
     assert strict == {(0, 0), (1, 0)}  # values that change within the text disagree
 
 
+def test_leaks_of_each_occurrence(spark):
+    item = "A farmer sells 12 apples and buys 34 pears, then gives 12 apples to a neighbour who holds 34 pears and 56 plums in total"
+    other = item.replace("12", "7").replace("34", "81").replace("56", "90")
+    slip = other.replace("gives 7", "slowly gives 7")
+    mixed_up = item.replace("gives 12", "gives 5").replace("holds 34", "holds 6")
+    long = prose(300) + " " + item + " " + " ".join(f"{prose(30)} who holds {k} pears and {k + 3} plums in total {prose(9)} sells {k} apples and buys {k + 1} pears" for k in range(60, 75))
+    texts = [f"{item} {prose(20)} {other}", f"{other} {prose(20)} {slip}", f"{item} {other}", long, mixed_up, prose(80)]
+    got = {r.doc_id for r in leaks(docs(spark, texts), bench(spark, [item])).collect()}
+    assert got == {0, 1, 2, 3}
+    # Rows that repeat an id don't mix their values.
+    assert leaks(docs(spark, [item, prose(3) + " " + other], ids=[9, 9]), bench(spark, [item])).count() == 1
+
+
 def test_leaks_of_odd_rows(spark):
     b = bench(spark, ["one two three four five six seven"])
     assert leaks(odd(spark), b).count() == 0 == leaks(odd(spark).limit(0), b).count() == leaks(odd(spark), b.limit(0)).count()
