@@ -4,12 +4,18 @@ Circulant MinHash (Li and Li 2022): one permutation shuffles the universe of shi
 circularly by k, gives signature coordinate k. Both permutations are bijections of the 32-bit integers, so no
 table of the universe is held. Texts that agree on all coordinates of a band meet in a bucket.
 
-No bucket is expanded into pairs. Each text of a bucket is verified against the bucket's hub, the text with the fullest
-buckets, which lies near the middle of its group; then what the hub leaves apart against a few texts of the bucket's largest component. What is still apart is settled in rounds of a bounded
-number of hubs, each linear in the bucket, until every pair of a bucket is connected, verified or excluded: by size
-(|A| / |B| below the threshold), by the triangle inequality of the Jaccard distance through the first hub, or by an
-estimate that lies over four standard errors below the threshold, from the coordinates at hand and, in
-buckets with many texts still apart, from 1024.
+No bucket is expanded into pairs, and none comes together in one task. (key, text) rows are sorted by range, so a large
+bucket runs over many partitions, and are cut into fragments of at most ``FRAGMENT`` texts. The work has two passes:
+
+1. In each fragment every text is verified against the fragment's medoid and against the text that looks most like it
+   (by four bits of each coordinate); fragments of one bucket are tied by their medoids. That is at most two pairs a row.
+   Connected components of the verified links follow.
+2. In buckets that are not one component yet, the texts outside the bucket's largest component are held against all
+   texts of other components, block by block of two fragments. A pair is verified unless its size ratio rules it out or
+   the estimate lies over ``ERRORS`` standard errors below the threshold, first by the banded coordinates, then by
+   ``FINE`` of them. ``errors=None`` verifies every such pair. Components of the components follow.
+
+So a link is lost only if no band holds both texts, or an estimate misses by that many standard errors.
 """
 
 from __future__ import annotations
@@ -18,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, stored
+from .common import stored
 from .components import components
 from .textcore import buffers, mix64, parts, shingles, words
 
@@ -29,14 +35,13 @@ from .textcore import buffers, mix64, parts, shingles, words
 BANDS, ROWS = 24, 4
 #: Elements whose signature is worked out at once: they stay in a core's cache.
 _CACHE = 1 << 16
-#: Texts compared with a hub by one group of rows, and hubs of a bucket in each later round.
-_SALT_ROWS, _HUBS = 256, 256
-#: Rounds against texts of the largest component, and how many of them in each.
-_TRIES, _TRY = 2, 4
-#: Texts times texts still apart beyond which a bucket's estimates are refined, and with how many coordinates.
-_MANY, _FINE = 4096, 1024
-#: Standard errors by which an estimate has to miss the threshold before the pair is left unverified.
-_ERRORS = 4.4
+#: Texts of a bucket that are looked at together.
+FRAGMENT = 256
+#: Coordinates of the second estimate, and the standard errors by which an estimate has to miss the threshold before
+#: the pair is left unverified.
+FINE, ERRORS = 1024, 4.4
+#: Candidates up to which their ids (16 bytes each) are broadcast to fetch their texts; beyond, both sides are shuffled.
+BROADCAST_ROWS = 2_000_000
 
 
 def _permute(x: np.ndarray, a: int, b: int, out: np.ndarray, tmp: np.ndarray) -> np.ndarray:
@@ -93,12 +98,21 @@ def nibbles(signatures: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(bits.reshape(len(signatures), width, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2).view(np.int64)
 
 
-def _unlike(a: str, b: str, coordinates: int, percent: int) -> str:
-    """SQL: whether two texts' nibbles differ more often than those of a pair at the threshold ever do."""
+def _most(coordinates: int, percent: int, errors: float | None) -> float:
+    """How many nibbles two texts at the threshold may differ in at most."""
     p = (1 - percent / 100) * 15 / 16
-    most = coordinates * p + _ERRORS * (coordinates * p * (1 - p)) ** 0.5
-    differ = f"transform(zip_with({a}, {b}, (x, y) -> x ^ y), z -> bit_count((z | shiftright(z, 1) | shiftright(z, 2) | shiftright(z, 3)) & 1229782938247303441L))"
-    return f"coalesce(aggregate({differ}, 0, (s, d) -> s + d) > {most:.3f}, false)"
+    return coordinates if errors is None else coordinates * p + errors * (coordinates * p * (1 - p)) ** 0.5
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many nibbles each row of x differs from each row of y."""
+    out = np.zeros((len(x), len(y)), np.int32)
+    for k in range(x.shape[1]):
+        z = x[:, None, k] ^ y[None, :, k]
+        z |= z >> np.uint64(1)
+        z |= z >> np.uint64(2)
+        out += np.bitwise_count(z & np.uint64(0x1111111111111111))
+    return out
 
 
 def _sets(texts: pa.Array, size: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
@@ -107,38 +121,177 @@ def _sets(texts: pa.Array, size: int) -> Iterator[tuple[int, int, list[np.ndarra
         yield a, b, shingles(*words(raw[at[a] : at[b]], at[a : b + 1] - at[a]), size)
 
 
+def _lists(x: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1)))
+
+
+def _unlisted(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(column), -1)
+
+
 def _describe(size: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, sets in _sets(batch.column(1), size):
+            for a, b, sets in _sets(batch.column("text"), size):
                 n = np.array([len(s) for s in sets], dtype=np.int64)
                 with np.errstate(over="ignore"):
                     sums = [np.array([mix64(s, k).sum(dtype=np.uint64) if len(s) else 0 for s in sets], dtype=np.uint64).view(np.int64) for k in (11, 12)]
                 signatures = circulant_signatures(sets, bands * rows)
-                lists = [pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1))) for x in (band_keys(signatures, bands, rows), nibbles(signatures))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), *lists], ["id", "n", "s1", "s2", "bands", "nibbles"])
+                own = [batch.column(c).slice(a, b - a) for c in ("id", "text_hash")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(n), *map(pa.array, sums), _lists(band_keys(signatures, bands, rows)), _lists(nibbles(signatures))], ["id", "text_hash", "n", "s1", "s2", "bands", "nibbles"])
 
     return run
 
 
-def _refine(size: int):
+def _refine(size: int, coordinates: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, sets in _sets(batch.column("text"), size):
-                x = nibbles(circulant_signatures(sets, _FINE))
-                fine = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * x.shape[1]), pa.array(x.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), fine], ["fine_of", "fine"])
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), _lists(nibbles(circulant_signatures(sets, coordinates)))], ["fine_of", "fine"])
+
+    return run
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where a run of rows that are equal in all columns starts."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
+
+
+def _fragments(most: int):
+    """Rows sorted by (key, node) in, (key, frag, cut, node) out: runs of a key cut after ``most`` rows, each piece named
+    by its first node. ``cut`` marks pieces of a key that may have others, also in the partitions around. A text that
+    stands alone under its key is left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, node, edge = np.zeros(0, np.int64), np.zeros(0, np.int64), True  # edge: the first run may have begun before
+
+        def cut(k: np.ndarray, v: np.ndarray, first_cut: bool, last_cut: bool) -> pa.RecordBatch:
+            starts = _starts(k) if len(k) else np.zeros(0, np.int64)
+            length = np.diff(np.append(starts, len(k)))
+            is_cut = length > most
+            if len(length):
+                is_cut[0] |= first_cut
+                is_cut[-1] |= last_cut
+            place = np.arange(len(k)) - np.repeat(starts, length)
+            frag = v[np.repeat(starts, length) + place // most * most] if len(k) else v
+            kept = np.repeat((length > 1) | is_cut, length)
+            return pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (k, frag, np.repeat(is_cut, length), v)], ["key", "frag", "cut", "node"])
+
+        for batch in batches:
+            key, node = (np.concatenate([x, batch.column(c).to_numpy(zero_copy_only=False)]) for x, c in ((key, "key"), (node, "node")))
+            last = int(_starts(key)[-1]) if len(key) else 0
+            if last:  # all but the last run, which may go on
+                yield cut(key[:last], node[:last], edge, False)
+                key, node, edge = key[last:], node[last:], False
+            if len(key) >= 64 * most:  # a large bucket leaves in whole pieces
+                whole = len(key) // most * most
+                yield cut(key[:whole], node[:whole], True, True)
+                key, node, edge = key[whole:], node[whole:], True
+        if len(key):
+            yield cut(key, node, edge, True)
+
+    return run
+
+
+def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.RecordBatch]:
+    """The sorted rows group by group, however the batches cut them."""
+    rest: pa.RecordBatch | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if rest is not None:
+            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        starts = _starts(*[batch.column(c).to_numpy(zero_copy_only=False) for c in by])
+        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            yield batch.slice(a, b - a)
+        rest = batch.slice(int(starts[-1]))
+    if rest is not None:
+        yield rest
+
+
+_STAR = pa.schema([("key", pa.int64()), ("frag", pa.int64()), ("a", pa.int64()), ("hub", pa.int64()), ("medoid", pa.bool_())])
+
+
+def _stars(percent: int, coordinates: int, errors: float | None):
+    """Fragments in; out the pairs to verify (each text with the medoid and with its nearest), and the medoid of each
+    fragment that was cut from a larger bucket."""
+    most = _most(coordinates, percent, errors)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[int, int, int, int, bool]] = []
+        for group in _groups(batches, ["key", "frag"]):
+            key, frag, cut = (group.column(c)[0].as_py() for c in ("key", "frag", "cut"))
+            node, n, x = group.column("node").to_numpy(), group.column("n").to_numpy(), _unlisted(group.column("nibbles"))
+            apart = differing(x, x)
+            hub = int(apart.sum(axis=1).argmin())
+            if cut:
+                found.append((key, frag, int(node[hub]), int(node[hub]), True))
+            likely = (apart <= most) & (100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n))
+            np.fill_diagonal(apart, 1 << 20)
+            nearest = apart.argmin(axis=1)
+            ends = {(min(i, j), max(i, j)) for i in range(len(node)) for j in (hub, int(nearest[i])) if i != j and likely[i, j]}
+            found += [(key, frag, int(node[j if i == hub else i]), int(node[i if i == hub else j]), False) for i, j in ends]
+            if len(found) >= 10_000:
+                yield _rows(found, _STAR)
+                found = []
+        yield _rows(found, _STAR)
+
+    return run
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+
+_BLOCK = ["key", "frag", "other"]
+_SIDES = pa.schema([(c, pa.int64()) for c in (*_BLOCK, "node")] + [("rest", pa.bool_())])
+_PAIRS = pa.schema([("a", pa.int64()), ("hub", pa.int64()), ("salt", pa.int64())])
+
+
+def _blocks(percent: int, coordinates: int, errors: float | None, column: str, pairs: bool):
+    """Blocks in: the texts ``rest`` of one fragment that lie outside the bucket's main component, and all texts of another
+    or the same fragment. Out, with ``pairs``, the pairs of different components that may be linked, else which
+    texts have such a partner."""
+    most = _most(coordinates, percent, errors)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, _BLOCK):
+            rest = group.column("rest").to_numpy(zero_copy_only=False)
+            node, n, component, main = (group.column(c).to_numpy() for c in ("node", "n", "component", "main"))
+            x = _unlisted(group.column(column))
+            u, y = np.flatnonzero(rest), np.flatnonzero(~rest)
+            if not len(u) or not len(y):
+                continue
+            maybe = (component[u][:, None] != component[y]) & (100 * np.minimum(n[u][:, None], n[y]) >= percent * np.maximum(n[u][:, None], n[y]))
+            maybe &= (component[y] == main[y]) | (node[u][:, None] < node[y])  # of two outside the main component, once
+            maybe &= differing(x[u], x[y]) <= most
+            key, frag, other = (group.column(c)[0].as_py() for c in _BLOCK)
+            if pairs:
+                i, j = np.nonzero(maybe)
+                if len(i):
+                    salt = int(mix64(np.array([(key ^ (other * 0x9E3779B1)) & 0xFFFFFFFFFFFFFFFF], np.uint64))[0] >> np.uint64(1))
+                    yield pa.RecordBatch.from_arrays([pa.array(node[y[j]]), pa.array(node[u[i]]), pa.array(np.full(len(i), salt, np.int64))], schema=_PAIRS)
+            else:
+                some = np.concatenate([u[maybe.any(axis=1)], y[maybe.any(axis=0)]])
+                if len(some):
+                    yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(some), v, np.int64)) for v in (key, frag, other)), pa.array(node[some]), pa.array(rest[some])], schema=_SIDES)
 
     return run
 
 
-def _compare(size: int, schema: pa.Schema):
+_TESTED = pa.schema([("a", pa.int64()), ("hub", pa.int64()), ("common", pa.int64()), ("whole", pa.int64())])
+
+
+def _compare(size: int):
     """Rows come sorted by hub and salt, the hub's own text first in each group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, hub = None, None
         for batch in batches:
-            ids, hubs, salts, member = (batch.column(c).to_pylist() for c in ("id", "hub", "salt", "member"))
+            nodes, hubs, salts, member = (batch.column(c).to_pylist() for c in ("node", "hub", "salt", "member"))
             found = []
             for a, b, sets in _sets(batch.column("text"), size):
                 for i in range(a, b):
@@ -149,119 +302,96 @@ def _compare(size: int, schema: pa.Schema):
                         at = np.searchsorted(hub, s)
                         at[at == len(hub)] = 0
                         common = int((hub[at] == s).sum()) if len(hub) else 0
-                        found.append((ids[i], hubs[i], common, len(s) + len(hub) - common))
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*found, strict=True) if found else [[]] * 4, schema.types, strict=True)], schema=schema)
+                        found.append((nodes[i], hubs[i], common, len(s) + len(hub) - common))
+            yield _rows(found, _TESTED)
 
     return run
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """(a, hub, common, whole): sizes of intersection and union for each pair (a, hub), from the full sets."""
-    kind = dict(pairs.dtypes)["a"]
-    hubs = pairs.groupBy("hub").agg(F.ceil(F.count("*") / _SALT_ROWS).cast("int").alias("salts"))
-    of_hub = hubs.join(texts, hubs.hub == texts.id).select("id", "hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"), "text")
-    of_a = pairs.join(hubs, "hub").join(texts, F.col("a") == F.col("id")).select("id", "hub", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("member"), "text")
+    """(a, hub, common, whole): sizes of intersection and union for each pair (a, hub, salt), from the full sets. The
+    texts of one (hub, salt), some hundreds, are held against the hub's set one after the other."""
+    of_hub = pairs.select("hub", "salt").distinct().join(texts, F.col("hub") == F.col("node")).select("node", "hub", "salt", F.lit(0).alias("member"), "text")
+    of_a = pairs.join(texts, F.col("a") == F.col("node")).select("node", "hub", "salt", F.lit(1).alias("member"), "text")
     rows = of_hub.unionByName(of_a).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member")
-    arrow = pa.int64() if kind == "bigint" else pa.string() if kind == "string" else pa.int32()
-    schema = pa.schema([("a", arrow), ("hub", arrow), ("common", pa.int64()), ("whole", pa.int64())])
-    return rows.mapInArrow(_compare(size, schema), f"a {kind}, hub {kind}, common long, whole long").distinct()
+    return rows.mapInArrow(_compare(size), "a long, hub long, common long, whole long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(id, n_shingles, component_id, kept) for each row of ``docs``.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, errors: float | None = ERRORS, fragment: int = FRAGMENT) -> DataFrame:
+    """(id, n_shingles, component_id, kept, group_id, text_hash) for each row of ``docs``.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z in lower case. Two texts are linked if 100 * intersection >=
     ``percent`` * union of their shingle sets, each confirmed on the full sets; a component is what links reach, named
     by its smallest id. A text with fewer than ``shingle`` words has its whole sequence as its one shingle. A null or
-    empty text, or one without words, has n_shingles 0 and is linked with nothing. Rows that repeat an id share its
-    component. A row without an id has a null component and is kept. Further columns of ``docs``, whatever their
-    names, play no part. An empty table gives an empty result.
+    empty text, or one without words, has n_shingles 0, is linked with nothing and is its own component. A row without
+    an id has a null component and is kept. Rows that repeat an id are judged each by its text. ``group_id`` numbers the
+    components (null for rows without id or words), ``text_hash`` is Spark's xxhash64 of the text. Further columns of
+    ``docs``, whatever their names, play no part. An empty table gives an empty result.
 
     Copies (equal sets) are one text from the start, so a group of copies of any size costs one row.
     """
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = dict(source.dtypes)["id"]
-    described = stored(source.mapInArrow(_describe(shingle, bands, rows), f"id {kind}, n long, s1 long, s2 long, bands array<long>, nibbles array<long>"), "signatures")
-    texts_of = described.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"), F.first("nibbles").alias("nibbles"))
-    reps = stored(texts_of, "texts")
-    keyed = reps.select("rep", "n", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    members = stored(keyed.join(buckets, "key"), "buckets")
-    # The more and the fuller a text's buckets, the nearer it lies to the middle of its group.
-    middle = members.groupBy("rep").agg(F.sum("c").alias("middle"))
-    members = stored(members.drop("c").join(middle, "rep"), "buckets")
-    hubs = members.groupBy("key").agg(F.max(F.struct("middle", F.xxhash64("rep").alias("h"), "rep", "n")).alias("first"))
-    members = members.join(hubs, "key").select("key", "rep", "n", "middle", F.col("first.rep").alias("hub"), F.col("first.n").alias("hub_n"))
-    wanted = members.select("rep").distinct()
-    label = stored(wanted.select("rep", F.col("rep").alias("component")), "labels")
-    release(source.sparkSession)
-    # Merged whatever the ids' number, so the plan and what it moves are alike at every size.
-    texts = stored(source.join(wanted.hint("merge"), source.id == wanted.rep).select("id", "text"), "candidates")
-    linked = f"100 * common >= {percent} * whole"
+    spark = docs.sparkSession
+    source = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
+    kind, width = dict(source.dtypes)["id"], bands * rows
+    described = stored(source.mapInArrow(_describe(shingle, bands, rows), f"id {kind}, text_hash long, n long, s1 long, s2 long, bands array<long>, nibbles array<long>"), "signatures")
+    sets = described.where("n > 0 and id is not null").groupBy("n", "s1", "s2")
+    reps = sets.agg(F.min(F.struct("id", "text_hash")).alias("first"), F.first("bands").alias("bands"), F.first("nibbles").alias("nibbles"))
+    reps = stored(reps.select(F.monotonically_increasing_id().alias("node"), "n", "s1", "s2", "first", "bands", "nibbles"), "texts")
+    keyed = reps.select(F.explode("bands").alias("key"), "node").repartitionByRange("key", "node").sortWithinPartitions("key", "node")
+    placed = stored(keyed.mapInArrow(_fragments(fragment), "key long, frag long, cut boolean, node long"), "fragments")
+    members = stored(placed.join(reps.select("node", "n", "nibbles"), "node"), "buckets")
+
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        """(node, text) of distinct nodes: one scan of the source, the wanted ids broadcast if they are few."""
+        wanted = stored(nodes.join(reps.select("node", "first.id", "first.text_hash"), "node"), "wanted")
+        some = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+        return stored(source.join(some, ["id", "text_hash"]).select("node", "text").dropDuplicates(["node"]), "candidates")
+
+    def both_ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.explode(F.array("a", "hub")).alias("node")).distinct()
 
-    def near(n: str, m: str) -> str:
-        return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m})"
-
-    def joined(label: DataFrame, links: DataFrame) -> DataFrame:
-        """The labels after further links: components of the components."""
-        old = label.withColumnRenamed("rep", "node")
-        ends = links.join(old, links.a == old.node).select("hub", F.col("component").alias("x"))
-        ends = ends.join(old, ends.hub == old.node).select("x", F.col("component").alias("y"))
-        moved = components(ends, "x", "y").withColumnRenamed("component", "new")
-        return stored(label.join(moved, label.component == moved.node, "left").select("rep", F.coalesce("new", "component").alias("component")), "labels")
-
-    pairs = members.where("rep <> hub").where(near("n", "hub_n")).select(F.col("rep").alias("a"), "hub").distinct()
-    tested = stored(_verify(pairs, texts, shingle), "tested")
-    label = joined(label, tested.where(linked))
-    first = tested.select(F.col("a").alias("rep"), "hub", (F.col("common") / F.col("whole")).alias("j"))
-    members = stored(members.join(first, ["rep", "hub"], "left").select("key", "rep", "n", "middle", F.when(F.col("rep") == F.col("hub"), F.lit(1.0)).otherwise(F.col("j")).alias("j")), "buckets")
-    served, fine, turn_no = None, None, 0
-    while True:
-        release(source.sparkSession)
-        turn_no += 1
-        now = members.join(label, "rep")
-        parts_of = now.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-        now = now.join(parts_of.drop("parts"), "key").join(reps.select("rep", "bands", "nibbles"), "rep")
-        members = now = stored(now, "unsettled")  # a bucket in one component needs no further look
-        members = members.select("key", "rep", "n", "middle", "j")
-        rest = now.where("component <> main")
-        if served is not None:
-            rest = rest.join(served, ["key", "rep"], "left_anti")
-        if turn_no == _TRIES + 1:
-            many = now.groupBy("key").agg((F.count("*") * F.count_if(F.col("component") != F.col("main"))).alias("m")).where(F.col("m") > _MANY).select("key")
-            doubtful = now.join(many, "key", "left_semi").select("rep").distinct()
-            fine = stored(texts.join(doubtful, texts.id == doubtful.rep, "left_semi").mapInArrow(_refine(shingle), f"fine_of {kind}, fine array<long>").dropDuplicates(["fine_of"]), "fine")
-        if fine is not None:
-            now = now.join(fine, now.rep == fine.fine_of, "left").drop("fine_of")
-            rest = rest.join(fine, rest.rep == fine.fine_of, "left").drop("fine_of")
-        else:
-            now, rest = (x.withColumn("fine", F.lit(None).cast("array<long>")) for x in (now, rest))
-        some, most = (now.where("component = main"), _TRY) if turn_no <= _TRIES else (rest, _HUBS)
-        order = Window.partitionBy("key").orderBy(*([F.desc("middle")] if turn_no == 1 else []), F.xxhash64("rep", F.lit(turn_no)), "rep")
-        turn = stored(some.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).drop("r"), "hubs")
-        if turn.isEmpty():
-            break
-        if turn_no > _TRIES:
-            done = turn.select("key", "rep")
-            served = done if served is None else served.unionByName(done)
-        hubs = turn.select("key", *[F.col(c).alias(f"hub_{c}") for c in ("rep", "n", "j", "component", "bands", "nibbles", "fine")])
-        against = rest if turn_no <= _TRIES else now
-        both = against.join(hubs, "key").where(
-            f"component <> hub_component and {near('n', 'hub_n')} and not coalesce(abs(j - hub_j) > {1 - percent / 100 + 1e-9}, false) "
-            f"and not {_unlike('nibbles', 'hub_nibbles', bands * rows, percent)} and key = array_min(array_intersect(bands, hub_bands)) "  # in one of their buckets only
-            f"and not {_unlike('fine', 'hub_fine', _FINE, percent)}"
-        )
-        pairs = both.select(F.least("rep", "hub_rep").alias("a"), F.greatest("rep", "hub_rep").alias("hub")).distinct()
-        seen = tested.select(F.least("a", "hub").alias("a"), F.greatest("a", "hub").alias("hub"))
-        pairs = stored(pairs.join(seen, ["a", "hub"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            continue
-        new = stored(_verify(pairs, texts, shingle), "tested")
-        tested = tested.unionByName(new)
-        if not new.where(linked).isEmpty():
-            label = joined(label, new.where(linked))
-    named = reps.select("rep", "n", "s1", "s2").join(label, "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
-    out = described.select("id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
-    component = F.when(F.col("id").isNotNull(), component)
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    linked = f"100 * common >= {percent} * whole"
+    # First pass: stars in each fragment, and the medoids of a bucket's fragments tied to one of them.
+    stars = stored(members.repartition("key", "frag").sortWithinPartitions("key", "frag").mapInArrow(_stars(percent, width, errors), "key long, frag long, a long, hub long, medoid boolean"), "stars")
+    medoids = stars.where("medoid").select("key", F.col("hub").alias("a"))
+    ties = medoids.join(medoids.groupBy("key").agg(F.min("a").alias("hub")), "key").where("a <> hub").select("a", "hub", F.expr("a div 256").alias("salt"))
+    pairs = stars.where("not medoid").select("a", "hub", F.xxhash64("key", "frag").alias("salt")).unionByName(ties).groupBy("a", "hub").agg(F.min("salt").alias("salt"))
+    pairs = stored(pairs, "pairs")
+    tested = stored(_verify(pairs, texts_of(both_ends(pairs)), shingle), "tested")
+    label = stored(components(tested.where(linked), "a", "hub"), "labels")
+
+    # Second pass: what lies outside the main component of its bucket against the other components there.
+    now = members.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    now = stored(now.select("key", "frag", "node", "n", "nibbles", "component"), "labelled")
+    of_key = now.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    frags = stored(now.groupBy("key", "frag").agg(F.count("*").alias("c")).join(of_key, "key").select("key", "frag", "main"), "unsettled")
+    now = stored(now.join(frags, ["key", "frag"]), "unsettled")
+    rest = now.where("component <> main")
+    sides = rest.select("key", "frag").distinct().join(frags.select("key", F.col("frag").alias("other")), "key")
+    one = rest.join(sides, ["key", "frag"]).withColumn("rest", F.lit(True))
+    two = now.withColumnRenamed("frag", "other").join(sides, ["key", "other"]).withColumn("rest", F.lit(False))
+    blocks = one.unionByName(two.select(*one.columns)).repartition(*_BLOCK).sortWithinPartitions(*_BLOCK)
+    doubtful = stored(blocks.mapInArrow(_blocks(percent, width, errors, "nibbles", False), "key long, frag long, other long, node long, rest boolean"), "doubtful")
+    texts = texts_of(doubtful.select("node").distinct())
+    fine = stored(texts.mapInArrow(_refine(shingle, FINE), "fine_of long, fine array<long>"), "fine")
+    of_node = now.select("key", "node", "n", "component", "main")
+    blocks = doubtful.join(of_node, ["key", "node"]).join(fine, F.col("node") == F.col("fine_of")).repartition(*_BLOCK).sortWithinPartitions(*_BLOCK)
+    pairs = blocks.mapInArrow(_blocks(percent, FINE, errors, "fine", True), "a long, hub long, salt long").groupBy("a", "hub").agg(F.min("salt").alias("salt"))
+    pairs = stored(pairs.join(tested.select("a", "hub"), ["a", "hub"], "left_anti").join(tested.select(F.col("hub").alias("a"), F.col("a").alias("hub")), ["a", "hub"], "left_anti"), "pairs")
+    links = stored(_verify(pairs, texts, shingle).where(linked), "links")
+    if not links.isEmpty():
+        ends = links.join(label.select(F.col("node").alias("a"), F.col("component").alias("x")), "a", "left").join(label.select(F.col("node").alias("hub"), F.col("component").alias("y")), "hub", "left")
+        ends = ends.select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "hub").alias("y"))
+        moved = stored(components(ends, "x", "y").select(F.col("node").alias("old"), F.col("component").alias("new")), "moved")
+        whole = label.unionByName(moved.join(label, moved["old"] == label["node"], "left_anti").select(F.col("old").alias("node"), F.col("old").alias("component")))
+        label = stored(whole.join(moved, whole["component"] == moved["old"], "left").select("node", F.coalesce("new", "component").alias("component")), "labels")
+
+    named = label.join(reps.select("node", "first.id"), "node")
+    smallest = named.groupBy("component").agg(F.min("id").alias("smallest"))
+    named = named.select("node", "component").join(smallest, "component")
+    of_set = reps.select("node", "n", "s1", "s2", F.col("first.id").alias("own")).join(named, "node", "left")
+    of_set = of_set.select("n", "s1", "s2", F.coalesce("smallest", "own").alias("component_id"), F.coalesce("component", "node").alias("group_id"))
+    out = described.select("id", "text_hash", "n", "s1", "s2").join(of_set, ["n", "s1", "s2"], "left")
+    component = F.when(F.col("id").isNull(), F.lit(None)).when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
+    group = F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("group_id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"), group.alias("group_id"), "text_hash")

@@ -112,17 +112,39 @@ def test_near_duplicates_equal_brute_force(spark, size):
     assert all(got[i].kept == (group[i] == i) for i in range(len(texts)))
 
 
-def test_near_duplicates_in_one_crowded_bucket(spark, monkeypatch):
-    """Few hubs a round and early refinement: the rounds have to meet the same result."""
-    monkeypatch.setattr(near_dups, "_HUBS", 2)
-    monkeypatch.setattr(near_dups, "_MANY", 10)
+@pytest.mark.parametrize(("fragment", "errors"), [(4, near_dups.ERRORS), (7, None), (near_dups.FRAGMENT, near_dups.ERRORS)])
+def test_near_duplicates_in_one_crowded_bucket(spark, fragment, errors):
+    """Whether or not a bucket is cut into fragments, and with or without estimates, the result is the same."""
     rng = random.Random(3)
     base = prose(60, rng)
-    texts = [edited(base, s, rng) for s in (0, 0.02, 0.03, 0.05, 0.05, 0.06, 0.07, 0.08, 0.1, 0.1, 0.12, 0.15) * 3]
-    got = {r.doc_id: r.component_id for r in near_dups.near_duplicates(docs(spark, texts), shingle=4).collect()}
+    texts = [edited(base, s, rng) for s in (0, 0.02, 0.03, 0.05, 0.05, 0.06, 0.07, 0.08, 0.1, 0.1, 0.12, 0.15) * 4]
+    got = {r.doc_id: r.component_id for r in near_dups.near_duplicates(docs(spark, texts), shingle=4, fragment=fragment, errors=errors).collect()}
     assert [got[i] for i in range(len(texts))] == near_groups(texts, 4)[1]
 
 
+def test_near_duplicates_judge_rows_that_repeat_an_id_by_their_text(spark):
+    rng = random.Random(4)
+    one, two = prose(50, rng), prose(50, rng)
+    got = near_dups.near_duplicates(docs(spark, [one, two, one + " more", two], [5, 5, 6, 7])).orderBy("doc_id").collect()
+    assert [r.component_id for r in got] == [5, 5, 5, 5] and [r.kept for r in got] == [True, True, False, False]
+    groups = Counter(r.group_id for r in got)
+    assert sorted(groups.values()) == [2, 2]
+
+
+def test_fragments_of_a_sorted_stream():
+    import pyarrow as pa
+
+    key = np.sort(np.array([1, 2, 2, 3] + [4] * 1500 + [5, 5, 6]))
+    node = np.arange(len(key))
+    rows = pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], ["key", "node"])
+    for step in (1, 3, 400, 5000):
+        got = pa.Table.from_batches(list(near_dups._fragments(4)(rows.slice(i, step) for i in range(0, len(key), step)))).to_pydict()
+        kept = dict(zip(got["node"], zip(got["key"], got["frag"], got["cut"], strict=True), strict=True))
+        assert set(kept) == {0, 1, 2, *range(4, 1507)}  # of single texts only those at the edges stay
+        assert max(Counter(got["frag"]).values()) <= 4 and all(kept[v][0] == key[v] for v in kept)
+        assert not kept[1][2] and kept[0][2] and kept[1506][2] and all(kept[v][2] for v in range(4, 1504))
+
+
 def test_near_duplicates_of_odd_rows(spark):
     got = near_dups.near_duplicates(odd(spark)).collect()
     by = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got}
