@@ -195,20 +195,27 @@ def _fragments(most: int):
     return run
 
 
-def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.RecordBatch]:
-    """The sorted rows group by group, however the batches cut them."""
+def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[dict[str, np.ndarray], list[tuple[int, int]]]]:
+    """The columns of some of the sorted rows, lists as rows of a matrix, and where each group begins and ends; no group
+    is torn, however the batches cut them."""
     rest: pa.RecordBatch | None = None
+
+    def some(rows: pa.RecordBatch, starts: np.ndarray) -> tuple[dict[str, np.ndarray], list[tuple[int, int]]]:
+        columns = {f.name: _unlisted(c) if pa.types.is_list(f.type) else c.to_numpy(zero_copy_only=False) for f, c in zip(rows.schema, rows.columns, strict=True)}
+        return columns, list(zip(starts.tolist(), [*starts[1:].tolist(), rows.num_rows], strict=True))
+
     for batch in batches:
         if not batch.num_rows:
             continue
         if rest is not None:
             batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
         starts = _starts(*[batch.column(c).to_numpy(zero_copy_only=False) for c in by])
-        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            yield batch.slice(a, b - a)
-        rest = batch.slice(int(starts[-1]))
+        last = int(starts[-1])
+        if last:
+            yield some(batch.slice(0, last), starts[:-1])
+        rest = batch.slice(last)
     if rest is not None:
-        yield rest
+        yield some(rest, np.zeros(1, np.int64))
 
 
 _STAR = pa.schema([("key", pa.int64()), ("frag", pa.int64()), ("a", pa.int64()), ("hub", pa.int64()), ("medoid", pa.bool_())])
@@ -220,23 +227,23 @@ def _stars(percent: int, coordinates: int, errors: float | None):
     most = _most(coordinates, percent, errors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[int, int, int, int, bool]] = []
-        for group in _groups(batches, ["key", "frag"]):
-            key, frag, cut = (group.column(c)[0].as_py() for c in ("key", "frag", "cut"))
-            node, n, x = group.column("node").to_numpy(), group.column("n").to_numpy(), _unlisted(group.column("nibbles"))
-            apart = differing(x, x)
-            hub = int(apart.sum(axis=1).argmin())
-            if cut:
-                found.append((key, frag, int(node[hub]), int(node[hub]), True))
-            likely = (apart <= most) & (100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n))
-            np.fill_diagonal(apart, 1 << 20)
-            nearest = apart.argmin(axis=1)
-            ends = {(min(i, j), max(i, j)) for i in range(len(node)) for j in (hub, int(nearest[i])) if i != j and likely[i, j]}
-            found += [(key, frag, int(node[j if i == hub else i]), int(node[i if i == hub else j]), False) for i, j in ends]
-            if len(found) >= 10_000:
-                yield _rows(found, _STAR)
-                found = []
-        yield _rows(found, _STAR)
+        for c, groups in _groups(batches, ["key", "frag"]):
+            found: list[tuple[int, int, int, int, bool]] = []
+            for a, b in groups:
+                node, n, x, key, frag = c["node"][a:b], c["n"][a:b], c["nibbles"][a:b], int(c["key"][a]), int(c["frag"][a])
+                apart = differing(x, x)
+                hub = int(apart.sum(axis=1).argmin())
+                if c["cut"][a]:
+                    found.append((key, frag, int(node[hub]), int(node[hub]), True))
+                likely = (apart <= most) & (100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n))
+                np.fill_diagonal(likely, False)
+                if not likely.any():
+                    continue
+                np.fill_diagonal(apart, 1 << 20)
+                nearest = apart.argmin(axis=1)
+                ends = {(min(i, j), max(i, j)) for i in np.flatnonzero(likely.any(axis=1)).tolist() for j in (hub, int(nearest[i])) if likely[i, j]}
+                found += [(key, frag, int(node[j if i == hub else i]), int(node[i if i == hub else j]), False) for i, j in ends]
+            yield _rows(found, _STAR)
 
     return run
 
@@ -253,31 +260,38 @@ _PAIRS = pa.schema([("a", pa.int64()), ("hub", pa.int64()), ("salt", pa.int64())
 
 def _blocks(percent: int, coordinates: int, errors: float | None, column: str, pairs: bool):
     """Blocks in: the texts ``rest`` of one fragment that lie outside the bucket's main component, and all texts of another
-    or the same fragment. Out, with ``pairs``, the pairs of different components that may be linked, else which
-    texts have such a partner."""
+    or the same fragment. Out, with ``pairs``, the pairs of different components that may be linked, each only from the
+    first band that holds both, else which texts have such a partner."""
     most = _most(coordinates, percent, errors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, _BLOCK):
-            rest = group.column("rest").to_numpy(zero_copy_only=False)
-            node, n, component, main = (group.column(c).to_numpy() for c in ("node", "n", "component", "main"))
-            x = _unlisted(group.column(column))
-            u, y = np.flatnonzero(rest), np.flatnonzero(~rest)
-            if not len(u) or not len(y):
-                continue
-            maybe = (component[u][:, None] != component[y]) & (100 * np.minimum(n[u][:, None], n[y]) >= percent * np.maximum(n[u][:, None], n[y]))
-            maybe &= (component[y] == main[y]) | (node[u][:, None] < node[y])  # of two outside the main component, once
-            maybe &= differing(x[u], x[y]) <= most
-            key, frag, other = (group.column(c)[0].as_py() for c in _BLOCK)
-            if pairs:
-                i, j = np.nonzero(maybe)
-                if len(i):
-                    salt = int(mix64(np.array([(key ^ (other * 0x9E3779B1)) & 0xFFFFFFFFFFFFFFFF], np.uint64))[0] >> np.uint64(1))
-                    yield pa.RecordBatch.from_arrays([pa.array(node[y[j]]), pa.array(node[u[i]]), pa.array(np.full(len(i), salt, np.int64))], schema=_PAIRS)
-            else:
-                some = np.concatenate([u[maybe.any(axis=1)], y[maybe.any(axis=0)]])
-                if len(some):
-                    yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(some), v, np.int64)) for v in (key, frag, other)), pa.array(node[some]), pa.array(rest[some])], schema=_SIDES)
+        for c, groups in _groups(batches, _BLOCK):
+            taken: list[tuple[np.ndarray, ...]] = []
+            for a, b in groups:
+                u, y = a + np.flatnonzero(c["rest"][a:b]), a + np.flatnonzero(~c["rest"][a:b])
+                if not len(u) or not len(y):
+                    continue
+                n, m = c["n"][u][:, None], c["n"][y]
+                maybe = (c["component"][u][:, None] != c["component"][y]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+                maybe &= (c["component"][y] == c["main"][y]) | (c["node"][u][:, None] < c["node"][y])  # of two outside the main component, once
+                if not maybe.any():
+                    continue
+                maybe &= differing(c[column][u], c[column][y]) <= most
+                if pairs:
+                    i, j = np.nonzero(maybe)
+                    both = c["bands"][u[i]] == c["bands"][y[j]]
+                    first = c["bands"][u[i], both.argmax(axis=1)].view(np.int64) == c["key"][a] if len(i) else np.zeros(0, bool)
+                    taken.append((y[j][first], u[i][first]))
+                else:
+                    taken.append((np.concatenate([u[maybe.any(axis=1)], y[maybe.any(axis=0)]]),))
+            if taken and pairs:
+                y, u = (np.concatenate(x) for x in zip(*taken, strict=True))
+                with np.errstate(over="ignore"):
+                    salt = mix64(c["key"][u].view(np.uint64) ^ (c["other"][u].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (c["node"][y], c["node"][u], salt)], schema=_PAIRS)
+            elif taken:
+                some = np.concatenate([x for (x,) in taken])
+                yield pa.RecordBatch.from_arrays([pa.array(c[f][some]) for f in _SIDES.names], schema=_SIDES)
 
     return run
 
@@ -375,8 +389,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = texts_of(doubtful.select("node").distinct())
     fine = stored(texts.mapInArrow(_refine(shingle, FINE), "fine_of long, fine array<long>"), "fine")
     of_node = now.select("key", "node", "n", "component", "main")
-    blocks = doubtful.join(of_node, ["key", "node"]).join(fine, F.col("node") == F.col("fine_of")).repartition(*_BLOCK).sortWithinPartitions(*_BLOCK)
-    pairs = blocks.mapInArrow(_blocks(percent, FINE, errors, "fine", True), "a long, hub long, salt long").groupBy("a", "hub").agg(F.min("salt").alias("salt"))
+    blocks = doubtful.join(of_node, ["key", "node"]).join(fine, F.col("node") == F.col("fine_of")).join(reps.select("node", "bands"), "node").repartition(*_BLOCK).sortWithinPartitions(*_BLOCK)
+    pairs = blocks.mapInArrow(_blocks(percent, FINE, errors, "fine", True), "a long, hub long, salt long")
     pairs = stored(pairs.join(tested.select("a", "hub"), ["a", "hub"], "left_anti").join(tested.select(F.col("hub").alias("a"), F.col("a").alias("hub")), ["a", "hub"], "left_anti"), "pairs")
     links = stored(_verify(pairs, texts, shingle).where(linked), "links")
     if not links.isEmpty():
