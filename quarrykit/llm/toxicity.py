@@ -6,7 +6,8 @@ fitted to the features r. N-grams whose shares of toxic and other texts lie with
 other get no feature: their sum over a text of many thousand characters would be noise.
 
 Training uses a bounded sample of labelled rows (``sample`` of each label, lowest hash of the id first); their texts
-are read whole. Scoring reads every text whole, in one pass, with tables of 2**bits entries in each worker.
+are read whole, every feature that passes the gate is kept, and the regression runs over blocks of rows, so beside the
+features of each row (4 bytes each) it holds one block. Scoring reads every text whole, in one pass, with tables of 2**bits entries in each worker.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from .common import stored
 from .textcore import buffers, parts
 
 ORDERS, BITS = (3, 4, 5), 20
-#: Labelled rows of each label that training uses at most, and features at most.
-SAMPLE, FEATURES = 3000, 2500
+#: Labelled rows of each label that training uses at most; rows whose n-grams one task counts; rows of a training block.
+SAMPLE, TASK_ROWS, BLOCK = 3000, 500, 128
 
 _FORM = np.arange(256, dtype=np.uint8)
 _FORM[65:91] += 32
@@ -125,24 +126,30 @@ def _rows(kept: np.ndarray):
             raw, at = buffers(batch.column("text"))
             for a, b in parts(at, 1 << 20):
                 row, feature = present(raw[at[a] : at[b]], at[a : b + 1] - at[a], wanted)
-                place, cut = np.searchsorted(kept, feature).astype(np.int16), np.searchsorted(row, np.arange(b - a + 1))
+                place, cut = np.searchsorted(kept, feature).astype(np.int32), np.searchsorted(row, np.arange(b - a + 1))
                 blobs = [place[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("label").slice(a, b - a).cast(pa.int32()), pa.array(blobs, pa.binary())], ["label", "features"])
 
     return run
 
 
-def logistic(row: np.ndarray, column: np.ndarray, value: np.ndarray, y: np.ndarray, width: int, penalty: float = 0.5, steps: int = 250) -> tuple[np.ndarray, float]:
-    """Logistic regression by full-batch Adam on a sparse matrix given as (row, column, value)."""
-    w, b = np.zeros(width), 0.0
-    m, v = np.zeros(width + 1), np.zeros(width + 1)
-    for t in range(1, steps + 1):
-        z = b + np.bincount(row, weights=w.astype(np.float32)[column] * value, minlength=len(y))
-        gap = 1 / (1 + np.exp(-np.clip(z, -60, 60))) - y
-        g = np.append(np.bincount(column, weights=gap.astype(np.float32)[row] * value, minlength=width) + penalty * w, gap.sum()) / len(y)
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-        w, b = w - step[:-1], b - step[-1]
+def logistic(rows: list[np.ndarray], value: np.ndarray, y: np.ndarray, penalty: float = 0.5, epochs: int = 20, rate: float = 0.02) -> tuple[np.ndarray, float]:
+    """Logistic regression by Adam over shuffled blocks of rows, the step falling to nothing. A row is given by its
+    distinct features; ``value`` is what a feature counts wherever it stands."""
+    width, rng = len(value), np.random.default_rng(1)
+    w, b, t, m, v = np.zeros(width), 0.0, 0, np.zeros(width + 1), np.zeros(width + 1)
+    for epoch in range(epochs):
+        order = rng.permutation(len(rows))
+        for some in np.split(order, range(BLOCK, len(order), BLOCK)):
+            column = np.concatenate([rows[i] for i in some])
+            row = np.repeat(np.arange(len(some)), [len(rows[i]) for i in some])
+            z = b + np.bincount(row, weights=(w * value)[column], minlength=len(some))
+            gap = 1 / (1 + np.exp(-np.clip(z, -60, 60))) - y[some]
+            g = np.bincount(column, weights=gap[row], minlength=width) * value / len(some) + penalty * w / len(rows)
+            g, t = np.append(g, gap.mean()), t + 1
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            step = rate * (1 - epoch / epochs) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
+            w, b = w - step[:-1], b - step[-1]
     return w, b
 
 
@@ -159,27 +166,24 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_co
         some = known.where(F.col("label") == y).orderBy(F.xxhash64("i"), "i").limit(sample)
         chosen = some if chosen is None else chosen.unionByName(some)
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")).where("text is not null")
-    rows = stored(texts.join(F.broadcast(chosen), "i").select("label", "text"), "labelled")  # 2 * sample rows at most
+    # 2 * sample rows at most are broadcast, and as many texts read again.
+    rows = stored(texts.join(F.broadcast(chosen), "i").select("label", "text").repartition(max(1, 2 * sample // TASK_ROWS)), "labelled")
     n = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
     none = np.zeros(0, np.int32)
     if not n1 or not n0:
         return Classifier(none, none, 60.0 if n1 else -60.0)
-    counted = rows.coalesce(6).mapInArrow(_totals, "chunk int, other binary, toxic binary")
+    counted = rows.mapInArrow(_totals, "chunk int, other binary, toxic binary")
     chosen = stored(counted.groupBy("chunk").applyInArrow(_choose(n0, n1, gate), "feature int, other long, toxic long, sure double"), "features")
     sums = chosen.where("feature < 0").agg(F.sum("other"), F.sum("toxic")).first()
-    best = sorted(chosen.where("feature >= 0").orderBy(F.desc("sure"), "feature").limit(FEATURES).collect())
+    best = chosen.where("feature >= 0").orderBy("feature").collect()  # at most 2**BITS
     if not best:
         return Classifier(none, none, float(np.log(n1 / n0)))
     kept = np.array([x.feature for x in best], np.int32)
     p, q = ((np.array([x[c] for x in best]) + 1) / (sums[i] + (1 << BITS)) for c, i in (("toxic", 1), ("other", 0)))
     r = np.log(p) - np.log(q)
-    got = rows.mapInArrow(_rows(kept), "label int, features binary").collect()  # bounded by sample and FEATURES
-    y = np.array([x.label for x in got], dtype=np.float64)
-    row = np.repeat(np.arange(len(got), dtype=np.int32), [len(x.features) // 2 for x in got])
-    column = np.frombuffer(b"".join(x.features for x in got), np.int16)
-    del got
-    w, b = logistic(row, column, r[column].astype(np.float32), y, len(kept))
+    got = rows.mapInArrow(_rows(kept), "label int, features binary").collect()  # bounded by the sample
+    w, b = logistic([np.frombuffer(x.features, np.int32) for x in got], r, np.array([x.label for x in got], dtype=np.float64))
     return Classifier(kept, (w * r).astype(np.float32), float(b))
 
 
