@@ -482,6 +482,53 @@ def test_main_text(spark):
     assert sorted(r.n_chars for r in got if r.page_id in (2, 3, 4, None)) == [0, 0, 0, 0] and max(r.n_chars for r in got) == 50_000 * 5 - 1
 
 
+WORD = "word " * 150
+PAGES = {
+    "a name that speaks against long text": (f'<div class="social-history"><h2>A title</h2><p>{WORD}</p><p>{WORD}</p></div>', ["A title", WORD, WORD]),
+    "a lead and a caption": (f'<article><h1>T</h1><p class="teaser">{"lead " * 25}</p><figure><img><figcaption>The caption here</figcaption></figure><p>{WORD}</p></article>', ["T", "lead " * 25, "The caption here", WORD]),
+    "a button left open": (f"<article><p>{WORD}</p><button>go<p>more words that follow here</p></article>", [WORD, "go", "more words that follow here"]),
+    "a list without marks": (f"<div><h1>Title words</h1><p>{WORD}</p><ul><li>first thing to do now</li><li>second thing to do</li></ul></div>", ["Title words", WORD, "first thing to do now", "second thing to do"]),
+    "reader comments": (f'<main><p>{WORD}</p><section id="comments"><h3>Replies</h3><p>{WORD}</p></section></main>', [WORD]),
+    "menus without marks": (f'<div><ul><li><a href="/">Home</a></li><li><a href="/b">News of today</a></li></ul></div><p>{WORD}</p><p><a href="/n">Read the next one</a></p>', [WORD]),
+    "a script and a drawing": (f'<article><svg><text>no</text></svg><script>if (a<b) "</p>"</script><p>{WORD}</p><style>p</style><!-- c --></article>', [WORD]),
+    "an aside, a form and a footer": (f"<p>{WORD}</p><aside><p>{WORD}</p></aside><form><p>Your name here please</p></form><footer>one two three</footer>", [WORD]),
+    "signs in the text": (f"<article><p>{WORD} 1 < 2 &amp;&lt; <3</p></article>", [WORD + "1 < 2 &< <3"]),
+}
+
+
+@pytest.mark.parametrize("name", PAGES)
+def test_main_text_of_a_page(name):
+    page, want = PAGES[name]
+    assert html_text.extract(page) == "\n".join(x.strip() for x in want)
+
+
+def test_pages_are_scanned_once():
+    import time
+
+    for unit in ('<a x="', "<a x='\"", "<button>", "</div>", "<div>", "<!--x", "<", '<p class="', "<script", "<svg>a", '"<a b=">'):
+        began = time.process_time()
+        html_text.extract(unit * (1_000_000 // len(unit)))
+        assert time.process_time() - began < 10, unit  # looking back would take hours
+
+
+def plain_article(page):
+    """The text of a synthetic page's article, tag by tag."""
+    import html as h
+
+    body = page[page.index("<article>") + 9 :]
+    body = re.sub(r"<!--.*?-->", "", body[: min(x for x in (body.find("</article>"), body.find("<footer>"), len(body)) if x >= 0)], flags=re.S).replace("<br>", " ")
+    parts = re.split(r"</?(?:p|h1|h2|ul|li|div)\b[^>]*>", body)
+    parts = [re.sub(r"\s+", " ", h.unescape(re.sub(r"</?[a-z][^>]*>", "", x))).strip() for x in parts]
+    return "\n".join(x for x in parts if x)
+
+
+def test_main_text_equals_the_articles_of_all_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    want = {r.page_id: plain_article(r.html) for r in pages.collect()}
+    extra = pages.selectExpr("*", "'clash' text", "0 n_chars", "'x' zone")
+    assert {r.page_id: r.text for r in html_text.main_text(extra).collect()} == want
+
+
 def test_tree_fits_its_table():
     assert all(html_text.decide(html_text.TREE, r[:-1]) == r[-1] for r in html_text.TABLE)
 
