@@ -191,6 +191,53 @@ def test_leaks_of_each_occurrence(spark):
     assert leaks(docs(spark, [item, prose(3) + " " + other], ids=[9, 9]), bench(spark, [item])).count() == 1
 
 
+def test_leaks_of_names_short_items_and_values(spark):
+    people = "Anna has 3 apples. Bert has 5 pears. Carla Maria gives 3 apples to Bert and keeps the basket."
+    items = [people, "capital city of France", "12 + 7 = 19", "What is the value of 3 + 4 * 2 - 1?", "Convert 5 km 300 m to 2 miles", "the value"]
+    texts = [
+        "so. " + people.replace("Anna", "Zoe").replace("Bert", "Jean Paul").replace("Carla Maria", "Max").replace("3", "8") + " Well.",  # 0: other names everywhere
+        prose(20) + " the capital city of Spain " + prose(20), prose(20) + " capital city of France, " + prose(3),  # 1, 2: a short item, with another name and its own
+        "100 200 300 " + prose(10), prose(9) + " 12 + 7 = 19 " + prose(9),  # 3, 4: numbers alone
+        "What is the value of 7 " + prose(20), prose(20) + " what is the value of 3 + 4 * 2 - 1 " + prose(4),  # 5, 6
+        prose(5) + " Convert 5 km 300 m to 2 miles", people.replace("3 ", "5 ").replace("Anna", "Bert").replace("Carla Maria", "Bert"),  # 7, 8: all names are one
+        "the value " + prose(20),
+    ]
+    got = {(r.doc_id, r.item_id) for r in leaks(docs(spark, texts), bench(spark, items)).collect()}
+    assert got == {(0, 0), (1, 1), (2, 1), (4, 2), (6, 3), (7, 4)}
+
+
+def plain_leaks(spark, texts, items, size=5, literals=3, coverage=0.5):
+    """Pairs that hold enough windows, by Python sets over the operator's own tokens; slots are not looked at."""
+    from quarrykit.llm.decontaminate import tokens as cut
+
+    def windows(t, n):
+        out = []
+        for i in range(len(t) - n + 1):
+            w = t[i : i + n]
+            out.append(tuple(x if x >= "\x05" else x[0] for x in w) if sum(x >= "\x05" for x in w) >= literals else tuple(w))
+        return set(out)
+
+    rows = spark.createDataFrame(list(enumerate([*texts, *items])), "i long, text string").select("i", cut(F.col("text")).alias("t")).collect()
+    t = [r.t for r in sorted(rows, key=lambda r: r.i)]
+    found = set()
+    for d in range(len(texts)):
+        for k, item in enumerate(t[len(texts) :]):
+            n = min(size, len(item))
+            if n >= literals:
+                of = windows(item, n)
+                if len(of & windows(t[d], n)) >= coverage * len(of):
+                    found.add((d, k))
+    return found
+
+
+def test_leaks_equal_brute_force_over_windows(spark):
+    rng = random.Random(31)
+    items = [" ".join(rng.choice([*WORDS[:60], "Anna", "Rome", "12", "7 kg"]) for _ in range(rng.choice([3, 4, 5, 9, 20]))) for _ in range(25)]
+    texts = [prose(10, rng) + " " + edited(rng.choice(items), rng.choice([0, 0.05, 0.2, 0.5]), rng) + " " + prose(10, rng) for _ in range(80)]
+    got = {(r.doc_id, r.item_id) for r in leaks(docs(spark, texts), bench(spark, items), agreement=0.0).collect()}
+    assert got == plain_leaks(spark, texts, items) and len(got) > 30
+
+
 def test_leaks_of_odd_rows(spark):
     b = bench(spark, ["one two three four five six seven"])
     assert leaks(odd(spark), b).count() == 0 == leaks(odd(spark).limit(0), b).count() == leaks(odd(spark), b.limit(0)).count()
