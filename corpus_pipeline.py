@@ -26,11 +26,16 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays. Of rows that repeat an id one stays;
-    empty texts and rows without an id stay."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    one = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null"))
+    """Of each group of near-duplicates one document stays, that with the smallest id (of rows that repeat this id, one).
+    Rows that repeat an id with unlike texts are documents of their own. Empty texts and rows without an id stay."""
+    found = near_duplicates(docs).where("group_id is not null")
+    first = found.groupBy("group_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    first = first.select(F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
+    named = docs.withColumn("_text_hash", F.xxhash64("text"))
+    one = named.join(first, (F.col("doc_id") == F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi").dropDuplicates(["doc_id", "_text_hash"])
+    # What has no words has no group.
+    rest = named.where("doc_id is null or text is null or not text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    return one.unionByName(rest).select(*docs.columns)
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

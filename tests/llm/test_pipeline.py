@@ -91,3 +91,12 @@ def test_mixing_stage_keeps_rows_that_repeat_an_id(spark):
     docs = spark.createDataFrame([(i % 50, "x%d" % (i % 75), "en", f"s{i % 4}", i % 2) for i in range(300)] + [(None, "y", "en", "s0", 1)] * 2, SCHEMA)
     mixed_rows = corpus_pipeline.in_mixed_order(spark, docs, "").collect()
     assert sorted(map(str, mixed_rows)) == sorted(map(str, docs.collect()))
+
+
+def test_near_duplicate_stage_keeps_unlike_texts_of_one_id(spark):
+    rng = random.Random(2)
+    one, two = prose(40, rng), prose(40, rng)
+    rows = [(5, one), (5, two), (6, one), (6, prose(30, rng)), (7, ""), (7, None), (7, ""), (5, two), (None, one), (8, " \t ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    got = corpus_pipeline.without_near_duplicates(spark, docs, "").collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted([("5", one), ("5", two), ("6", rows[3][1]), ("7", ""), ("7", "None"), ("7", ""), ("None", one), ("8", " \t ")])
