@@ -35,15 +35,33 @@ def write_bytes(uri: str, *blocks) -> None:
     store.move(temp, name)
 
 
-def list_files(uri: str, suffix: str) -> list[tuple[str, int]]:
-    """(URI, bytes) of the files under a folder, sorted."""
+def make_folder(uri: str) -> None:
     path = local_path(uri)
     if path is not None:
-        names = sorted(x for x in (os.listdir(path) if os.path.isdir(path) else []) if x.endswith(suffix))
-        return [(f"file://{path}/{x}", os.path.getsize(f"{path}/{x}")) for x in names]
+        os.makedirs(path, exist_ok=True)
+    else:
+        store, name = fs.FileSystem.from_uri(uri)
+        store.create_dir(name, recursive=True)
+
+
+def list_files(uri: str, suffixes: tuple[str, ...]) -> list[tuple[str, int]]:
+    """(URI, bytes) of a file, whatever its name, or of the files with one of the suffixes anywhere under a folder, sorted.
+    A path at which nothing is raises FileNotFoundError."""
+    path = local_path(uri)
+    if path is not None:
+        if os.path.isfile(path):
+            return [(f"file://{path}", os.path.getsize(path))]
+        if not os.path.isdir(path):
+            raise FileNotFoundError(path)
+        names = [f"{folder}/{x}" for folder, _, found in os.walk(path) for x in found if x.endswith(suffixes)]
+        return [(f"file://{x}", os.path.getsize(x)) for x in sorted(names)]
     store, name = fs.FileSystem.from_uri(uri)
-    found = store.get_file_info(fs.FileSelector(name, allow_not_found=True))
-    return sorted((f"{uri.rstrip('/')}/{x.base_name}", x.size) for x in found if x.base_name.endswith(suffix))
+    own = store.get_file_info(name)
+    if own.type == fs.FileType.NotFound:
+        raise FileNotFoundError(uri)
+    found = [own] if own.type == fs.FileType.File else [x for x in store.get_file_info(fs.FileSelector(name, recursive=True)) if x.type == fs.FileType.File and x.base_name.endswith(suffixes)]
+    base = uri[: len(uri.rstrip("/")) - len(name.rstrip("/"))] if uri.rstrip("/").endswith(name.rstrip("/")) else f"{urlparse(uri).scheme}://{urlparse(uri).netloc}"
+    return sorted((f"{base}{x.path}", x.size) for x in found)
 
 
 def open_stream(uri: str):

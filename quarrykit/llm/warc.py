@@ -1,10 +1,12 @@
 """WARC archives: a writer whose records say how long they are, and a Python data source that skips what isn't asked for.
 
-The data source plans its partitions from file sizes, takes predicates on record type and on named headers from
+The data source plans its partitions from file sizes (a large compressed archive is cut into ranges of bytes; the reader of
+a range begins at the first record that starts in it), takes predicates on record type and on named headers from
 Spark's optimiser, inflates the head of a record first and its payload only if the record is wanted and a column of
 the schema needs it. Each record is a gzip member of its own; the writer notes the member's compressed length in
 the gzip header's extra field (subfield ``SL``), so that an unwanted payload is passed over without inflating it.
-Members without the note, from other writers, are inflated to find their end. Uncompressed archives are read as well.
+Members without the note, from other writers, are inflated to find their end. Uncompressed archives are read as well, each
+by one task. A record that ends before its stated length raises an error; nothing is left out in silence.
 """
 
 from __future__ import annotations
@@ -24,10 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull
 
 from .common import new_folder
-from .files import list_files, open_stream, write_bytes
+from .files import list_files, make_folder, open_stream, write_bytes
 
 #: Compressed bytes after which the writer starts another file, and that one read task is given at least.
 FILE_BYTES, TASK_BYTES = 64 << 20, 16 << 20
+#: Compressed bytes beyond which an archive is read by several tasks.
+SPLIT_BYTES = 128 << 20
+#: Rows that share a payload are dealt out over so many keys.
+SALTS = 32
 HEAD = 16 << 10
 _DATE = "2000-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -103,11 +109,13 @@ def write_pages(pages: DataFrame, folder: str | None = None, least: int = 0, id_
     spark = pages.sparkSession
     payload = F.coalesce(F.col(html_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"), F.octet_length(payload).cast("long").alias("length"), F.sha1(payload).alias("digest"))
-    firsts = rows.groupBy(F.col("digest").alias("d")).agg(F.min("page_id").alias("first"))
-    rows = rows.join(firsts, F.col("digest") == F.col("d"))
+    firsts = rows.groupBy(F.col("digest").alias("d")).agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    firsts = firsts.select("d", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))  # a payload of any number of pages stays spread
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")
+    rows = rows.join(firsts, (F.col("digest") == F.col("d")) & (salt == F.col("s")), "left")
     again = (F.col("length") >= least) & (F.col("page_id") != F.col("first"))
     rows = rows.select("page_id", "url", F.when(~F.coalesce(again, F.lit(False)), F.col("payload")).alias("payload"), "length", "digest", F.when(again, F.col("first")).alias("refers_to"))
-    folder = folder or new_folder(spark, "warc")
+    make_folder(folder := folder or new_folder(spark, "warc"))
     written = rows.mapInArrow(_write(folder), "file string, records long, bytes long").agg(F.sum("records")).first()
     return folder, written[0] or 0
 
@@ -141,16 +149,23 @@ def _parse(head: bytes) -> tuple[str, dict[str, str]]:
 class _Source:
     """A buffered file: what has been read ahead, and the rest."""
 
-    def __init__(self, file):
-        self.file, self.ahead = file, b""
+    def __init__(self, file, start: int = 0):
+        self.file, self.ahead, self.at = file, b"", start
+        if start:
+            file.seek(start)
 
     def take(self, n: int) -> bytes:
         while len(self.ahead) < n and (more := self.file.read(max(n - len(self.ahead), 1 << 18))):
             self.ahead += more
         out, self.ahead = self.ahead[:n], self.ahead[n:]
+        self.at += len(out)
         return out
 
+    def give_back(self, data: bytes) -> None:
+        self.ahead, self.at = data + self.ahead, self.at - len(data)
+
     def skip(self, n: int) -> None:
+        self.at += n
         if n <= len(self.ahead):
             self.ahead = self.ahead[n:]
         else:
@@ -172,7 +187,7 @@ def _inflated(source: _Source) -> Iterator[bytes]:
                 data = source.take(min(noted - used, 1 << 16) if noted else 1 << 16)
                 used += len(data)
                 if not data:
-                    return
+                    raise EOFError("an archive ends within a record")
             piece = inflate.decompress(data, HEAD)
             data = inflate.unconsumed_tail
             if piece:
@@ -184,7 +199,7 @@ def _inflated(source: _Source) -> Iterator[bytes]:
             while not inflate.eof and (data or (data := source.take(1 << 16))):
                 inflate.decompress(data, 1 << 20)
                 data = inflate.unconsumed_tail
-            source.ahead = inflate.unused_data + source.ahead
+            source.give_back(inflate.unused_data)
 
 
 def _stored(source: _Source) -> Iterator[bytes]:
@@ -194,7 +209,7 @@ def _stored(source: _Source) -> Iterator[bytes]:
         head += more
     at = head.find(b"\r\n\r\n") + 4
     size = at + int(_parse(head[: at - 4])[1].get("content-length", 0)) + 4
-    source.ahead = head[size:] + source.ahead
+    source.give_back(head[size:])
     head, left = head[:size], max(0, size - len(head))
     try:
         yield head
@@ -205,15 +220,39 @@ def _stored(source: _Source) -> Iterator[bytes]:
         source.skip(left)
 
 
-def records(file, wanted) -> Iterator[Record]:
-    """The records of an archive whose headers ``wanted`` admits. Each has to be used before the next is asked for."""
-    source = _Source(file)
-    while start := source.take(2):
-        source.ahead = start + source.ahead
-        if start != b"\x1f\x8b" and start != b"WA":
+def _first_member(source: _Source, end: int) -> bool:
+    """Moves to the first compressed record that starts at the source's place or behind it, before ``end``."""
+    while source.at < end and (window := source.take(1 << 16)):
+        at = window.find(b"\x1f\x8b\x08")
+        if at < 0:
+            source.give_back(window[-2:] if len(window) > 2 else b"")
+            if len(window) <= 2:
+                return False
+            continue
+        source.give_back(window[at:])
+        probe = source.take(1 << 12)
+        source.give_back(probe)
+        try:
+            if zlib.decompressobj(31).decompress(probe, 8).startswith(b"WARC/"):
+                return source.at < end
+        except zlib.error:
+            pass
+        source.take(1)
+    return False
+
+
+def records(file, wanted, start: int = 0, end: int | None = None) -> Iterator[Record]:
+    """The records of an archive, or those that start in a range of its bytes, whose headers ``wanted`` admits. Each has to
+    be used before the next is asked for."""
+    source = _Source(file, start)
+    if start and not _first_member(source, end):
+        return
+    while (end is None or source.at < end) and (mark := source.take(2)):
+        source.give_back(mark)
+        if mark != b"\x1f\x8b" and mark != b"WA":
             source.take(1)  # line ends between records
             continue
-        pieces = _inflated(source) if start == b"\x1f\x8b" else _stored(source)
+        pieces = _inflated(source) if mark == b"\x1f\x8b" else _stored(source)
         head = b""
         for piece in pieces:
             head += piece
@@ -238,14 +277,16 @@ def records(file, wanted) -> Iterator[Record]:
 def _limited(first: bytes, more: Iterator[bytes], left: int) -> Iterator[bytes]:
     yield first[:left]
     left -= len(first)
-    while left > 0 and (piece := next(more, None)):
+    while left > 0:
+        if not (piece := next(more, None)):
+            raise EOFError("a record is shorter than its stated length")
         yield piece[:left]
         left -= len(piece)
 
 
 @dataclass
 class Files(InputPartition):
-    names: tuple[str, ...]
+    ranges: tuple[tuple[str, int, int | None], ...]  # name, first byte, end of the range (None: the file's)
 
 
 #: Columns by name: type, and how a record gives the value.
@@ -277,8 +318,11 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[Files]:
         out, held, size = [], [], 0
-        for name, n in [*list_files(self.path, ".warc.gz"), *list_files(self.path, ".warc")]:
-            held.append(name)
+        for name, n in list_files(self.path, (".warc.gz", ".warc")):
+            if n > SPLIT_BYTES and name.endswith(".gz"):
+                out += [Files(((name, at, min(n, at + SPLIT_BYTES)),)) for at in range(0, n, SPLIT_BYTES)]
+                continue
+            held.append((name, 0, None))
             size += n
             if size >= TASK_BYTES:
                 out.append(Files(tuple(held)))
@@ -296,9 +340,9 @@ class WarcReader(DataSourceReader):
 
         needs = bool(_PAYLOAD & set(self.columns))
         rows, size = [], 0
-        for name in partition.names:
+        for name, start, end in partition.ranges:
             with open_stream(name) as f:
-                for r in records(f, wanted):
+                for r in records(f, wanted, start, end):
                     payload = r.payload() if needs and r.headers.get("warc-type") != "revisit" else None
                     rows.append([self._value(c, r, payload) for c in self.columns])
                     size += len(payload or b"") * ("payload" in self.columns) + 500
@@ -343,7 +387,9 @@ class WarcDataSource(DataSource):
 
 
 def read_warc(spark, folder: str, columns: list[str] | None = None) -> DataFrame:
-    """The records under ``folder`` with some or all of the columns; an empty folder gives no rows."""
+    """The records of an archive or of all archives under a folder and its subfolders, with some or all of the columns. An
+    empty folder gives no rows; a path where nothing is, and a torn archive, raise an error. Predicates reach the reader
+    through the session's ``spark.sql.python.filterPushdown.enabled``, which this turns on."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
     kinds = dict(x.strip().split(" ", 1) for x in _SCHEMA.split(", "))

@@ -285,6 +285,36 @@ def test_warc_reader_skips_and_pushes_down(spark, tmp_path, monkeypatch):
     assert sum(1 for _ in warc.records(io.BytesIO(data), lambda h: False)) == 0 and len(inflated) == 3
 
 
+def test_warc_paths_ranges_and_torn_archives(spark, tmp_path, monkeypatch):
+    import io
+
+    rng = random.Random(4)
+    all_records = [warc.record("response", f"<urn:page:{i}>", "http://a", p := rng.randbytes(rng.randint(0, 9000)), len(p), "D") for i in range(300)]
+    data = b"".join(map(warc.member, all_records))
+    for step in (1000, 50_000, len(data)):
+        seen = [r.headers["warc-record-id"] for at in range(0, len(data), step) for r in warc.records(io.BytesIO(data), lambda h: True, at, min(len(data), at + step))]
+        assert seen == [f"<urn:page:{i}>" for i in range(300)], step
+    (tmp_path / "deep" / "er").mkdir(parents=True)
+    (tmp_path / "deep" / "er" / "a.warc.gz").write_bytes(data)
+    (tmp_path / "b.warc.gz").write_bytes(data[: len(warc.member(all_records[0]))])
+    assert warc.read_warc(spark, f"file://{tmp_path}", ["record_id"]).count() == 301
+    assert warc.read_warc(spark, f"file://{tmp_path}/b.warc.gz", ["record_id"]).count() == 1
+    with pytest.raises(Exception, match="missing"):
+        warc.read_warc(spark, f"file://{tmp_path}/missing", ["record_id"]).count()
+    big = warc.member(warc.record("response", "<urn:page:1>", "http://a", rng.randbytes(100_000), 100_000, "D"))
+    (tmp_path / "torn.warc.gz").write_bytes(big[:50_000])
+    with pytest.raises(Exception, match="ends within a record"):
+        warc.read_warc(spark, f"file://{tmp_path}/torn.warc.gz", ["payload_bytes"]).collect()
+
+
+def test_warc_of_many_copies_and_clashing_columns(spark):
+    rows = [(i, f"http://x/{i}", "same" if i % 3 else f"own {i}", "clash", "clash") for i in range(5, 300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string, first string")
+    got = {r.page_id: r for r in warc.round_trip(pages).collect()}
+    first = min(i for i in got if i % 3)
+    assert len(got) == 295 and all(r.refers_to == (first if i % 3 and i != first else None) for i, r in got.items())
+
+
 # 3: toxicity
 
 
