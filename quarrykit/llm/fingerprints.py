@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K, SHINGLE = 128, 5
-#: Rows that one window partition is meant to hold, and the most partitions.
-_BUCKET_ROWS, _MOST_BUCKETS = 512, 100_000
+#: Rows that one range of ids is meant to hold, and the most ranges (beyond, ranges grow evenly).
+_BUCKET_ROWS, _MOST_BUCKETS, _STEP = 512, 10_000, 100
 _EMPTY = "cast(array() as array<bigint>)"
 
 
@@ -33,10 +33,12 @@ def merge(a: Column, b: Column, k: int = K) -> Column:
     return F.slice(F.sort_array(F.array_union(a, b)), 1, k)
 
 
-def merged(sketches: Column, k: int = K) -> Column:
-    """Aggregate: the sketch of the union of all rows' sketches. Each part is at most ``k`` numbers, so is the buffer
-    of a merge; group over salted keys first where a group is very large."""
-    return F.aggregate(F.collect_set(sketches), F.expr(_EMPTY), lambda x, y: merge(x, y, k))
+def merged(sketches: DataFrame, group: str, sketch: str, k: int = K) -> DataFrame:
+    """(group, sketch): the sketch of the union of all sketches of each group, however many they are. Hashes are made
+    distinct before they meet, and each task passes on the ``k`` smallest of a group at most."""
+    each = sketches.select(F.col(group).alias("g"), F.explode_outer(sketch).alias("h")).distinct()
+    lowest = each.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.col("h").asc_nulls_last()))).where(F.col("r") <= k)
+    return lowest.groupBy("g").agg(F.array_sort(F.collect_list("h")).alias("s")).select(F.col("g").alias(group), F.col("s").alias(sketch))
 
 
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
@@ -91,23 +93,35 @@ def edited_fingerprints(docs: DataFrame, k: int = K, id_col: str = "doc_id", tex
     texts are empty. Rows that repeat an id follow each other in the order of their text's hash; rows without an
     id come last. One row has itself as its next document; no rows give none.
 
-    Ids are cut into ranges; each range gets a copy of the row that follows its last one. So every text moves once,
-    to a window of one range, and neither one task nor the driver holds an unbounded share.
+    Ids are cut into ranges of about equally many rows, by quantiles, so gaps and far-off ids make none larger; rows without
+    an id are cut by their text's hash. Each range gets a copy of the row that follows its last one. So every text moves
+    once, to a window of one range, and neither one task nor the driver holds an unbounded share.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ends = source.agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).first()
-    low, high = (ends.low, ends.high) if ends.low is not None else (0, 0)
-    buckets = min(_MOST_BUCKETS, max(1, ends.n // _BUCKET_ROWS))
-    width = -(-(high - low + 1) // buckets)
-    source = source.withColumn("bucket", F.coalesce(F.expr(f"(id - {low}L) div {width}L"), F.lit(-1).cast("long")))
+    rows_of, missing = source.agg(F.count("*"), F.count_if(F.col("id").isNull())).first()
+    ranges = lambda n: min(_MOST_BUCKETS, max(1, n // _BUCKET_ROWS))
+    count = ranges(rows_of - missing)
+    cuts = F.percentile_approx("id", [i / count for i in range(1, count)], 10 * count) if count > 1 else F.expr("cast(array() as array<bigint>)")
+    bounds = sorted(set(source.agg(cuts).first()[0] or []))  # _MOST_BUCKETS numbers at most
+    # The number of bounds up to the id, found in two steps: among every _STEP-th of them, then in the stretch before that.
+    stretches = [bounds[i : i + _STEP] for i in range(0, len(bounds), _STEP)] or [[]]
+    top = F.array(*[F.lit(x[0]) for x in stretches[1:]]).cast("array<bigint>")
+    parts = docs.sparkSession.createDataFrame(list(enumerate(stretches)), "stretch int, bounds array<bigint>")
+    up_to = lambda x: F.size(F.filter(x, lambda b: b <= F.col("id")))
+    source = source.withColumn("h", F.xxhash64("text")).withColumn("stretch", F.coalesce(up_to(top), F.lit(0)))
+    source = source.join(F.broadcast(parts), "stretch")
+    by_hash = -1 - F.floor((F.col("h").cast("double") + 2.0**63) / 2.0**64 * ranges(missing)).cast("long")
+    place = F.when(F.col("id").isNull(), by_hash).otherwise((F.col("stretch") * _STEP + up_to(F.col("bounds"))).cast("long"))
+    source = source.select("id", "text", "h", place.alias("bucket"))
     # The first row of each range, to be copied to the range above it, and of the highest to the lowest.
-    firsts = source.groupBy("bucket").agg(F.max("id").alias("first"))  # _MOST_BUCKETS rows at most
-    line = Window.partitionBy(F.lit(0)).orderBy("bucket")
-    firsts = firsts.select("first", F.coalesce(F.lead("bucket").over(line), F.min("bucket").over(line)).alias("to"))
-    source = source.join(F.broadcast(firsts), F.col("id").eqNullSafe(F.col("first")), "left").drop("first")
+    least = F.min(F.struct((-F.col("id")).alias("back"), "h"))  # the order within a range: falling ids, then rising hashes
+    firsts = source.groupBy(F.col("bucket").alias("b")).agg(least.alias("first"))  # 2 * _MOST_BUCKETS rows at most
+    line = Window.partitionBy(F.lit(0)).orderBy("b")
+    firsts = firsts.select("b", "first.back", F.col("first.h").alias("first_h"), F.coalesce(F.lead("b").over(line), F.min("b").over(line)).alias("to"))
+    is_first = (F.col("bucket") == F.col("b")) & (-F.col("id")).eqNullSafe(F.col("back")) & (F.col("h") == F.col("first_h"))
+    source = source.join(F.broadcast(firsts), is_first, "left").drop("b", "back", "first_h")
     places = F.array_compact(F.array(F.struct(F.col("bucket"), F.lit(0).alias("copy")), F.when(F.col("to").isNotNull(), F.struct(F.col("to").alias("bucket"), F.lit(1).alias("copy")))))
-    rows = source.select("id", "text", F.explode(places).alias("p")).select("id", "text", "p.bucket", "p.copy")
-    rows = rows.withColumn("h", F.xxhash64("text"))
+    rows = source.select("id", "text", "h", F.explode(places).alias("p")).select("id", "text", "h", "p.bucket", "p.copy")
     order = Window.partitionBy("bucket").orderBy("copy", F.col("id").desc_nulls_last(), "h")
     rows = rows.withColumn("next_text", F.lead("text").over(order))
     n = F.length("text")

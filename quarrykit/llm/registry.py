@@ -64,6 +64,8 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_chars", "edited_sha256",
         fingerprints.to_text(F.col("sketch")).alias("fingerprint"), fingerprints.to_text(F.col("edited_sketch")).alias("edited_fingerprint"),
         near(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), near(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        fingerprints.distinct_count(F.col("sketch")).alias("n_distinct"), fingerprints.containment(F.col("sketch"), F.col("edited_sketch")).alias("contained_edited"),
+        fingerprints.distinct_count(fingerprints.merge(F.col("sketch"), F.col("next_sketch"))).alias("n_distinct_with_next"),
     )
 
 

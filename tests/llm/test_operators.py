@@ -651,8 +651,29 @@ def test_sketches_merge_and_estimate(spark):
     ).first()
     assert r.same and r.text and r.few == 2.0 and r.empty == 1.0 and r.none == 0.0
     assert abs(r.n - 5996) < 5996 * 0.3 and r.inside > 0.8 and abs(r.like - 0.5) < 0.15
-    parts = spark.createDataFrame([(x,) for x in (s[1], s[2])], "x array<long>").agg(fingerprints.merged(F.col("x")).alias("m")).first()
-    assert parts.m == s[0]
+    parts = spark.createDataFrame([(1, s[1]), (1, s[2]), (2, s[3]), (3, []), (None, s[3])], "g int, x array<long>")
+    assert {r.g: r.x for r in fingerprints.merged(parts, "g", "x").collect()} == {1: s[0], 2: s[3], 3: [], None: s[3]}
+
+
+@pytest.mark.parametrize("shape", ["far", "one id", "no ids"])
+def test_fingerprints_of_uneven_ids(spark, monkeypatch, shape):
+    """Ranges stay even, and neighbours right, with a far-off id, with one id on many rows, and without ids."""
+    monkeypatch.setattr(fingerprints, "_BUCKET_ROWS", 10)
+    monkeypatch.setattr(fingerprints, "_STEP", 4)
+    rng = random.Random(2)
+    n = 400
+    ids = {"far": [*range(n - 2), 10**15, -(10**17)], "one id": [7] * 150 + list(range(n - 150)), "no ids": [None] * 300 + list(range(n - 300))}[shape]
+    texts = [prose(rng.randint(1, 12), rng) for _ in range(n)]
+    rows = fingerprints.edited_fingerprints(docs(spark, texts, ids))
+    got = Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in rows.collect())
+    hashes = {r.t: r.h for r in spark.createDataFrame([(t,) for t in texts], "t string").withColumn("h", F.xxhash64("t")).collect()}
+    order = sorted(range(n), key=lambda i: (ids[i] is None, -(ids[i] or 0), hashes[texts[i]]))
+    want = Counter()
+    for k, i in enumerate(order):
+        own, after = texts[i], texts[order[(k + 1) % n]]
+        m = len(own) // 3
+        want[ids[i], len(own), hashlib.sha256((own[: len(own) - m] + after[:m]).encode()).hexdigest()] += 1
+    assert got == want
 
 
 def test_fingerprints_of_odd_rows(spark):
