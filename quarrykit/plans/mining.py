@@ -131,19 +131,15 @@ def partition_profile_custom(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _frequent_sql(baskets: str, need: str, names: str = "items, support", tail: str = "") -> str:
-    """Frequent itemsets of one to four items from a relation (b, i)."""
-    ctes = [baskets, f"need as (select {need} s)", "l1 as (select i i1, count(*) n from baskets group by 1 having count(*) >= (select s from need))", "r as (select b, i from baskets join l1 on i = i1)"]
-    keys = "i1"
-    for k in (2, 3, 4):
-        old = ", ".join(f"o.i{j}" for j in range(1, k))
-        source = f"(select b, i i1 from r) o" if k == 2 else f"o{k - 1} o"
-        new = f"i{k}"
-        keys = ", ".join(f"i{j}" for j in range(1, k + 1))
-        ctes.append(f"p{k} as (select o.b, {old}, r.i {new} from {source} join r on o.b = r.b and o.i{k - 1} < r.i)")
-        ctes.append(f"l{k} as (select {keys}, count(*) n from p{k} group by {keys} having count(*) >= (select s from need))")
-        ctes.append(f"o{k} as (select p.b, {', '.join(f'p.i{j}' for j in range(1, k + 1))} from p{k} p join l{k} l on {' and '.join(f'p.i{j} = l.i{j}' for j in range(1, k + 1))})")
-    union = " union all ".join(f"select {' || chr(124) || '.join(f'i{j}' for j in range(1, k + 1))} items, n support, {k} size from l{k}" for k in (1, 2, 3, 4))
-    return f"with {', '.join(ctes)}, f as ({union}) select {names} from f {tail}"
+    """Frequent itemsets of all sizes from a relation (b, i): occurrences of a set are taken one item further as long as the
+    longer set is frequent."""
+    return f"""with recursive {baskets}, need as (select {need} s),
+        r as (select b, i from baskets where i in (select i from baskets group by 1 having count(*) >= (select s from need))),
+        o as (select b, [i] t, i last from r
+              union all select b, t, last from (select x.b, list_append(x.t, r.i) t, r.i last, count(*) over (partition by list_append(x.t, r.i)) n
+                                                from o x join r on x.b = r.b and r.i > x.last) where n >= (select s from need)),
+        f as (select array_to_string(t, '|') items, count(*) support, len(t) size from o group by t)
+        select {names} from f {tail}"""
 
 
 _SHARE = "cast(ceil({} * (select count(distinct b) from baskets)) as bigint)"
@@ -202,17 +198,17 @@ def frequent_itemsets(spark: SparkSession, d: str) -> DataFrame:
 @query(_frequent_sql(_USERS, _SHARE.format("0.26")))
 def frequent_itemsets_case1(spark: SparkSession, d: str) -> DataFrame:
     baskets = _users_as_baskets(spark, d)
-    return _sets(itemsets.frequent(baskets, itemsets.threshold(baskets, 0.26), most=4))
+    return _sets(itemsets.frequent(baskets, itemsets.threshold(baskets, 0.26)))
 
 
 @query(_frequent_sql(_VALUES, _SHARE.format("0.32")))
 def frequent_itemsets_case2(spark: SparkSession, d: str) -> DataFrame:
     baskets = _values_as_baskets(spark, d)
-    return _sets(itemsets.frequent(baskets, itemsets.threshold(baskets, 0.32), most=4))
+    return _sets(itemsets.frequent(baskets, itemsets.threshold(baskets, 0.32)))
 
 
 def _son_sql(chunks: int, share: float) -> str:
-    """The candidates of each chunk of orders (order number modulo ``chunks``), up to four items."""
+    """The candidates of each chunk of orders (order number modulo ``chunks``)."""
     parts = []
     for c in range(chunks):
         need = f"cast(ceil((select count(distinct b) from baskets) * cast((select ceil({share} * count(distinct b)) from orders_all) as double) / (select count(distinct b) from orders_all)) as bigint)"
