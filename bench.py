@@ -10,7 +10,7 @@ import time
 HEADLINE = [
     "review_summary", "top_users", "tied_top_users", "avg_rating_by_city", "city_avg_two_aggregates", "partition_profile_custom", "date_customer_baskets",
     "frequent_itemsets", "frequent_pairs", "pcy_pairs", "son_frequent_itemsets", "minhash_signatures", "lsh_similar_pairs", "pearson_pairs", "cf_predictions", "cf_rmse",
-    "features4", "features14", "hybrid_predictions", "sentiment_stars", "label_propagation", "connected_components", "bloom_fpr", "flajolet_martin", "reservoir",
+    "features4", "features14", "hybrid_predictions", "hybrid_model_predictions", "sentiment_stars", "label_propagation", "connected_components", "bloom_fpr", "flajolet_martin", "reservoir",
     "tumbling_counts", "cluster_summary", "mahalanobis_assign", "kmeans_fixed_init",
     "op1_decontamination", "op2_warc", "op3_toxicity", "op4_lm_scoring", "op5_sharding", "op6_minhash_near_dedup", "op7_language_id", "op8_html_extraction", "op9_fingerprints", "op10_mixing",
 ]

@@ -74,11 +74,22 @@ def son_candidates(baskets: DataFrame, support: int, chunks: int, key: Column |
 
 
 def son(baskets: DataFrame, support: int, chunks: int, key: Column | None = None, most: int | None = None) -> DataFrame:
-    """(items, support): the second pass counts the candidates in all baskets."""
-    candidates = settled(son_candidates(baskets, support, chunks, key, most).withColumn("k", F.size("items")).withColumn("id", F.xxhash64("items")))
-    hits = candidates.select("items", "k", F.explode("items").alias("i")).join(baskets.select("b", "i").distinct(), "i")
-    held = hits.groupBy("items", "k", "b").agg(F.count("*").alias("have")).where("have = k")
-    return held.groupBy("items").agg(F.count("*").alias("support")).where(F.col("support") >= support)
+    """(items, support): the second pass counts the candidates in all baskets. What is frequent in a chunk has only parts
+    that are, so a basket's candidates of k + 1 items are found from its candidates of k items, level by level."""
+    candidates = settled(son_candidates(baskets, support, chunks, key, most))
+    single = candidates.where(F.size("items") == 1).select(F.col("items")[0].alias("i"))
+    rows = settled(baskets.select("b", "i").distinct().join(single, "i", "left_semi"))
+    found = rows.select("b", F.array("i").alias("items"), F.col("i").alias("last"))
+    counted = []
+    for k in range(1, (candidates.agg(F.max(F.size("items"))).first()[0] or 0) + 1):
+        if k > 1:
+            longer = found.join(rows, "b").where("i > last").select("b", F.concat("items", F.array("i")).alias("items"), F.col("i").alias("last"))
+            found = settled(longer.join(candidates.where(F.size("items") == k), "items", "left_semi"))
+        counted.append(found.groupBy("items").agg(F.count("*").alias("support")).where(F.col("support") >= support))
+    result = candidates.select("items", F.lit(0).cast("long").alias("support")).limit(0)
+    for x in counted:
+        result = result.unionByName(x)
+    return result
 
 
 def frequent_pairs(baskets: DataFrame, support: int) -> DataFrame:

@@ -74,6 +74,22 @@ def with_fallbacks(ratings: DataFrame, targets: DataFrame) -> DataFrame:
     return rows.select("u", "i", item_first(F.col("im"), F.col("um"), F.col("g")).alias("item_first"), user_first(F.col("im"), F.col("um"), F.col("g")).alias("user_first"), F.coalesce(F.col("ic").cast("double"), F.col("uc").cast("double"), F.col("gc")).alias("item_count"))
 
 
+def activity(checkins: DataFrame, tips: DataFrame, photos: DataFrame) -> DataFrame:
+    """(i, checkin_mean, tips, photos): mean check-ins of an item from rows (i, n), its tips and its photos counted; null
+    where there are none."""
+    out = checkins.groupBy("i").agg(F.avg("n").alias("checkin_mean"))
+    out = out.join(tips.groupBy("i").agg(F.count("*").alias("tips")), "i", "full")
+    return out.join(photos.groupBy("i").agg(F.count("*").alias("photos")), "i", "full")
+
+
+def with_activity(targets: DataFrame, found: DataFrame) -> DataFrame:
+    """(i, checkin_mean, tips, photos) of all targets (i): what an item lacks is the mean over the items that have it."""
+    names = ["checkin_mean", "tips", "photos"]
+    means = found.agg(*[F.avg(c).alias(f"_{c}") for c in names])
+    rows = targets.select("i").distinct().join(found, "i", "left").crossJoin(F.broadcast(means))  # one row
+    return rows.select("i", *[F.coalesce(F.col(c).cast("double"), F.col(f"_{c}")).alias(c) for c in names])
+
+
 def baseline_predict(ratings: DataFrame, targets: DataFrame) -> DataFrame:
     """(u, i, baseline): overall mean plus the user's and the item's offsets from it; unknown ones have none."""
     overall = ratings.agg(F.avg("rating").alias("g"))
@@ -109,17 +125,26 @@ def features(ratings: DataFrame, users: DataFrame, items: DataFrame, imputed: bo
     return rows.select(*ratings.columns, *[F.coalesce(F.col(c).cast("double"), F.col(f"_{c}")).alias(c) for c in names])
 
 
-def boosted(train: DataFrame, columns: list[str], label: str = "rating", depth: int = 5, trees: int = 20, rate: float = 0.1, subsample: float = 0.5, least: int = 3, seed: int = 1):
-    """A pipeline of boosted regression trees over feature columns, fitted."""
+def boosted(train: DataFrame, columns: list[str], label: str = "rating", depth: int = 5, trees: int = 20, rate: float = 0.1, subsample: float = 0.5, columns_share: str = "0.5", gain: float = 0.0, least: int = 3, seed: int = 1):
+    """A pipeline of boosted regression trees over feature columns, fitted. ``columns_share`` of the columns are looked at for
+    a split, which has to gain ``gain`` at least; a large ensemble is ``depth=10, trees=1500, rate=0.01``."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
     assembler = VectorAssembler(inputCols=columns, outputCol="_features", handleInvalid="keep")
-    trees_ = GBTRegressor(featuresCol="_features", labelCol=label, predictionCol="model", maxDepth=depth, maxIter=trees, stepSize=rate, subsamplingRate=subsample, minInstancesPerNode=least, seed=seed)
+    trees_ = GBTRegressor(featuresCol="_features", labelCol=label, predictionCol="model", maxDepth=depth, maxIter=trees, stepSize=rate, subsamplingRate=subsample, featureSubsetStrategy=columns_share, minInfoGain=gain, minInstancesPerNode=least, seed=seed)
     return Pipeline(stages=[assembler, trees_]).fit(train)
 
 
+def factorised(train: DataFrame, rank: int = 10, rounds: int = 10, penalty: float = 0.1, seed: int = 1):
+    """A model of (u, i, rating) by alternating least squares, as an alternative to the neighbourhood predictions; integer
+    ids. Unknown users and items get no prediction."""
+    from pyspark.ml.recommendation import ALS
+
+    return ALS(userCol="u", itemCol="i", ratingCol="rating", rank=rank, maxIter=rounds, regParam=penalty, coldStartStrategy="nan", seed=seed).fit(train)
+
+
 def text_profile(texts: DataFrame, key: str) -> DataFrame:
     """(key, length_mode, stars_mean, useful_median, funny_mode, cool_mode) from (key, text, stars, useful, funny, cool);
     of several most frequent values the largest."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranking import indexed
+
 #: Rows of a band and bands.
 ROWS, BANDS = 2, 50
 
@@ -15,10 +17,8 @@ def hash_parameters(n: int = ROWS * BANDS) -> list[tuple[int, int, int]]:
 
 
 def element_index(sets: DataFrame) -> DataFrame:
-    """(element, idx): distinct elements numbered from 0 in their order. Only distinct elements meet, in ranges."""
-    from pyspark.sql import Window
-
-    return sets.select("element").distinct().withColumn("idx", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("element")) - 1).cast("long"))
+    """(element, idx): distinct elements numbered from 0 in their order, range by range."""
+    return indexed(sets.select("element").distinct(), "element")
 
 
 def characteristic_matrix(sets: DataFrame, index: DataFrame | None = None) -> DataFrame:

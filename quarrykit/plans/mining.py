@@ -446,6 +446,31 @@ def hybrid_model_predictions(spark: SparkSession, d: str) -> DataFrame:
     return recommend.hybrid(model_predictions(spark, d), recommend.cf_predict(r, r, 20), "model")
 
 
+@query(None)
+def factorised_predictions(spark: SparkSession, d: str) -> DataFrame:
+    r = views.ratings(spark, d)
+    return recommend.factorised(r).transform(r.select("u", "i", "rating")).withColumnRenamed("prediction", "model")
+
+
+_KINDS = "c as (select user_id i, avg(value) checkin_mean from events where event_type = 'view' group by 1), t as (select user_id i, count(*) tips from events where event_type = 'click' group by 1), p as (select user_id i, count(*) photos from events where event_type = 'purchase' group by 1), found as (select i, checkin_mean, tips, photos from c full join t using (i) full join p using (i))"
+
+
+def _activity(spark: SparkSession, d: str) -> DataFrame:
+    events = views.table(spark, d, "events").select(F.col("user_id").alias("i"), "event_type", F.col("value").alias("n"))
+    return recommend.activity(*[events.where(F.col("event_type") == kind) for kind in ("view", "click", "purchase")])
+
+
+@query(f"with {_KINDS} select i, round(checkin_mean, 6) checkin_mean, tips, photos from found")
+def activity_features(spark: SparkSession, d: str) -> DataFrame:
+    return _activity(spark, d).withColumn("checkin_mean", F.round("checkin_mean", 6))
+
+
+@query(f"with {_KINDS}, m as (select avg(checkin_mean) mc, avg(tips) mt, avg(photos) mp from found) select c_custkey i, round(coalesce(checkin_mean, mc), 6) checkin_mean, round(coalesce(tips, mt), 6) tips, round(coalesce(photos, mp), 6) photos from customer left join found on c_custkey = i, m")
+def activity_fallbacks(spark: SparkSession, d: str) -> DataFrame:
+    rows = recommend.with_activity(views.table(spark, d, "customer").select(F.col("c_custkey").alias("i")), _activity(spark, d))
+    return rows.select("i", *[F.round(c, 6).alias(c) for c in ("checkin_mean", "tips", "photos")])
+
+
 # Text profiles and encodings
 
 

@@ -7,9 +7,7 @@ from tests.oracle import assert_same
 
 SF = "/root/testdata/sf0.001"
 ORACLE = registry.oracle_sql()
-#: At the smallest scale a chunk's share of the support is so low that sets of five items are frequent; SQL stops at four.
-LARGER = {"son_candidates": "/root/testdata/sf0.01"}
-MODELS = {"model_predictions", "hybrid_model_predictions", "bfr_labels"}
+MODELS = {"model_predictions", "hybrid_model_predictions", "factorised_predictions", "bfr_labels"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -34,5 +32,10 @@ def test_boosted_model_beats_the_mean(spark):
     assert ((rows.rating - rows.model) ** 2).mean() < ((rows.rating - rows.rating.mean()) ** 2).mean()
 
 
+def test_factorised_model_beats_the_mean(spark):
+    rows = registry.queries()["factorised_predictions"](spark, SF).toPandas()
+    assert ((rows.rating - rows.model) ** 2).mean() < ((rows.rating - rows.rating.mean()) ** 2).mean()
+
+
 def test_flagship(spark):
     assert registry.flagship(spark, SF).limit(1).count() == 1
