@@ -1,10 +1,12 @@
 """Interpolated modified Kneser-Ney bigram model: counted in Spark, kept as sorted hash arrays, memory-mapped.
 
-Tasks count their bigrams in numpy and deal them out by the context's hash; each of P groups merges its share, writes
-its bigrams as one sorted array of 64-bit keys with counts, and passes on what the lower order needs: for a context
-its total and how many followers it has once, twice or more often, for a follower how many contexts precede it.
-A second deal by the word's hash merges these into the sorted word table. Workers map both tables and look up each
-distinct bigram of a chunk once, in sorted order. No task and no process holds the whole of a table in memory.
+Tasks count their bigrams in numpy and deal them out by the hashes of both words, half of the bits from each, so the
+bigrams of a very common word go to many groups; each of P groups merges its share, writes its bigrams as one sorted
+array of 64-bit keys with counts, and passes on what the lower order needs: for a context its share of the total and how
+many followers it has once, twice or more often, for a follower how many contexts precede it. A second deal by the
+word's hash adds these up into the sorted word table. Workers map both tables and look up each distinct bigram of a
+chunk once, in sorted order. No task and no process holds the whole of a table in memory, and the number of groups
+grows with the input, so a group doesn't.
 
 Table size: 12 bytes for each distinct bigram and 28 for each distinct word, in the shared folder.
 """
@@ -27,16 +29,19 @@ from .textcore import buffers, mix64, parts, words
 BEGIN, END = (mix64(np.array([x], dtype=np.uint64), 99)[0] for x in (1, 2))
 #: Bigrams that a task gathers before it counts and sends them.
 GATHER = 3_000_000
-#: Bytes of input files for each group, and the fewest and most groups.
-GROUP_BYTES, LEAST_GROUPS, MOST_GROUPS = 8 << 20, 16, 8192
-_PREFIX = np.uint64(20)
+#: Bytes of input files for each group, and the fewest groups.
+GROUP_BYTES, LEAST_GROUPS = 8 << 20, 16
 
 
-def bigram_keys(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Keys that sort by the leading 20 bits of the context's hash, and so by group; the rest hashes both words."""
+def bigram_keys(context: np.ndarray, word: np.ndarray, shift: int) -> np.ndarray:
+    """Keys whose bits from ``shift`` on are the group: leading bits of the context's hash, then of the word's; the others
+    hash both words."""
+    bits = 64 - shift
+    of_word = bits // 2
     with np.errstate(over="ignore"):
         both = mix64(context * np.uint64(0x9E3779B97F4A7C15) + word, 5)
-    return (context >> (np.uint64(64) - _PREFIX) << (np.uint64(64) - _PREFIX)) | (both >> _PREFIX)
+    group = (context >> np.uint64(shift + of_word) << np.uint64(of_word)) | (word >> np.uint64(64 - of_word))
+    return (group << np.uint64(shift)) | (both >> np.uint64(bits))
 
 
 def _bigrams(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,12 +60,12 @@ def _runs(sorted_values: np.ndarray) -> np.ndarray:
 def _count(shift: int):
     def counted(cs: list, ws: list) -> Iterator[pa.RecordBatch]:
         c, w = np.concatenate(cs), np.concatenate(ws)
-        k = bigram_keys(c, w)
+        k = bigram_keys(c, w, shift)
         order = np.argsort(k)
         starts = _runs(k[order])
         n = np.diff(np.append(starts, len(k))).astype(np.uint32)
-        c, w = c[order[starts]], w[order[starts]]
-        group = (c >> np.uint64(shift)).astype(np.int32)
+        c, w, k = c[order[starts]], w[order[starts]], k[order[starts]]
+        group = (k >> np.uint64(shift)).astype(np.int32)
         cut = np.append(_runs(group), len(group))
         blobs = [[x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)] for x in (c, w, n)]
         yield pa.RecordBatch.from_arrays([pa.array(group[cut[:-1]]), *[pa.array(x, pa.binary()) for x in blobs]], ["part", "c", "w", "n"])
@@ -97,21 +102,22 @@ def _merge(folder: str, shift: int):
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         c, w, n = _joined(table, "c", np.uint64), _joined(table, "w", np.uint64), _joined(table, "n", np.uint32)
-        k = bigram_keys(c, w)
+        k = bigram_keys(c, w, shift)
         order = np.argsort(k)
         starts = _runs(k[order])
         n = np.add.reduceat(n[order].astype(np.int64), starts)
         c, w, k = c[order[starts]], w[order[starts]], k[order[starts]]
         del order
-        write_array(f"{folder}/{part:05d}.keys", k)
-        write_array(f"{folder}/{part:05d}.counts", n.astype(np.float32))
+        write_array(f"{folder}/{part:07d}.keys", k)
+        write_array(f"{folder}/{part:07d}.counts", n.astype(np.float32))
+        rows = []
         own, at = np.unique(c, return_inverse=True)
         few = [np.bincount(at, weights=x, minlength=len(own)).astype(np.int64) for x in (n, n == 1, n == 2, n > 2)]
-        rows = [(part, 0, own.tobytes(), *[x.tobytes() for x in few])]
         after, contexts = np.unique(w, return_counts=True)
-        cut = np.append(_runs(after >> np.uint64(shift)), len(after))
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
-            rows.append((int(after[a] >> np.uint64(shift)), 1, after[a:b].tobytes(), contexts[a:b].astype(np.int64).tobytes(), None, None, None))
+        for kind, words_, columns in ((0, own, few), (1, after, [contexts.astype(np.int64)])):
+            cut = np.append(_runs(words_ >> np.uint64(shift)), len(words_))
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                rows.append((int(words_[a] >> np.uint64(shift)), kind, words_[a:b].tobytes(), *[x[a:b].tobytes() for x in columns], *[None] * (4 - len(columns))))
         rows.append((part, 2, np.array([(n == i).sum() for i in (1, 2, 3, 4)], dtype=np.int64).tobytes(), None, None, None, None))
         return pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _MERGED_ARROW.types, strict=True)], schema=_MERGED_ARROW)
 
@@ -133,15 +139,14 @@ def _finish(folder: str):
         h1, preceding = _joined(followers, "h", np.uint64), _joined(followers, "total", np.int64)
         h = np.unique(np.concatenate([h0, h1]))
         at0, at1 = np.searchsorted(h, h0), np.searchsorted(h, h1)
-        total, cont = np.zeros(len(h), np.int64), np.bincount(at1, weights=preceding, minlength=len(h)).astype(np.int64)
-        total[at0] = _joined(contexts, "total", np.int64)
-        write_array(f"{folder}/{part:05d}.words", h)
-        write_array(f"{folder}/{part:05d}.totals", total)
+        total, cont = (np.bincount(at, weights=x, minlength=len(h)).astype(np.int64) for at, x in ((at0, _joined(contexts, "total", np.int64)), (at1, preceding)))
+        write_array(f"{folder}/{part:07d}.words", h)
+        write_array(f"{folder}/{part:07d}.totals", total)
         few = np.zeros((len(h), 4), np.float32)
         few[:, 3] = cont
         for i, x in enumerate(("n1", "n2", "n3")):
-            few[at0, i] = _joined(contexts, x, np.int64)
-        write_array(f"{folder}/{part:05d}.few", few)
+            few[:, i] = np.bincount(at0, weights=_joined(contexts, x, np.int64), minlength=len(h))
+        write_array(f"{folder}/{part:07d}.few", few)
         docs = int(total[h == BEGIN].sum())
         tokens = int(total.sum()) - docs
         types = int(((total > 0) & (h != BEGIN)).sum())
@@ -187,7 +192,7 @@ class Model:
     def _map(self, part: int, what: str, dtype) -> np.ndarray:
         if (part, what) not in self._maps:
             try:
-                self._maps[part, what] = map_array(f"{self.folder}/{part:05d}.{what}", dtype)
+                self._maps[part, what] = map_array(f"{self.folder}/{part:07d}.{what}", dtype)
             except FileNotFoundError:  # no word of the training texts falls into this group
                 self._maps[part, what] = np.zeros(0, dtype)
         return self._maps[part, what]
@@ -214,7 +219,7 @@ class Model:
         if not len(c):
             zero = np.zeros(len(at) - 1)
             return zero.astype(np.int64), zero.astype(np.int64), zero, zero
-        k = bigram_keys(c, w)
+        k = bigram_keys(c, w, self.shift)
         keys, key_at = np.unique(k, return_inverse=True)
         (n,) = self._find(keys, "keys", [("counts", np.float32, 1)])
         names, name_at = np.unique(np.concatenate([c, w]), return_inverse=True)
@@ -238,7 +243,9 @@ def train(texts: DataFrame, text_col: str = "text", groups: int | None = None) -
     spark = texts.sparkSession
     if groups is None:
         size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        groups = min(MOST_GROUPS, max(LEAST_GROUPS, 1 << (size // GROUP_BYTES).bit_length()))
+        if size >= 1 << 60:  # what Spark says of a source that knows no size
+            size = texts.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+        groups = max(LEAST_GROUPS, 1 << (size // GROUP_BYTES).bit_length())
     shift, folder = 64 - (groups.bit_length() - 1), new_folder(spark, "kneser-ney")
     counted = texts.select(F.col(text_col).alias("text")).mapInArrow(_count(shift), "part int, c binary, w binary, n binary")
     merged = counted.groupBy("part").applyInArrow(_merge(folder, shift), _MERGED)
