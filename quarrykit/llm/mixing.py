@@ -8,7 +8,8 @@ weights scaled up; every row gets its place, none is dropped or repeated.
 
 Weights are held as exact whole numbers, so the bound holds against the target weights at any length, and every source
 has a weight of its own. The driver works out the schedule slot by slot and writes it out in pieces; rows join their
-block's slot.
+block's slot. A block has ``block`` rows; by default as many that the table makes about ``SLOTS`` blocks (at least
+``BLOCK``), so the driver's work is bounded while blocks grow with the table.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import new_folder, shuffled_key, with_rank
 
-#: Rows of a block; slots of the schedule that the driver holds at once.
-BLOCK, PERIOD = 16, 1 << 20
+#: Least rows of a block and the blocks that a table is cut into at most; slots of the schedule that the driver holds at once.
+BLOCK, SLOTS, PERIOD = 16, 1 << 22, 1 << 20
 _PLAN = "class int, block long, phase int, release long, deadline long, slot long, before long"
 _LONGEST = 2**63 - 1
 
@@ -80,7 +81,15 @@ def schedule(shares: list[int]) -> list[list[int]]:
 
 def planned(counts: list[int], weights: list[float], block: int = BLOCK) -> Iterator[tuple]:
     """(source, block, phase, release, deadline, slot, rows before) slot by slot until the rows of
-    all sources have run; a phase ends with the last block of one source."""
+    all sources have run; a phase ends with the last block of one source. Sources of weight 0 follow, alike in weight."""
+    start = (0, 0, 0)
+    for some in ([w if w > 0 else 0 for w in weights], [int(w == 0) for w in weights]):
+        for step in _planned([n if w else 0 for n, w in zip(counts, some, strict=True)], some, block, *start):
+            yield step
+            start = step[2] + 1, step[5] + 1, step[6] + min(block, counts[step[0]] - step[1] * block)
+
+
+def _planned(counts: list[int], weights: list[float], block: int, phase: int, slot0: int, before: int) -> Iterator[tuple]:
     exact = [Fraction(w) for w in weights]
     unit = lcm(*[x.denominator for x in exact])
     shares = [int(x * unit) for x in exact]
@@ -94,7 +103,7 @@ def planned(counts: list[int], weights: list[float], block: int = BLOCK) -> Iter
             yield i
             i = after[i]
 
-    done, total, phase, slot0, before = [0] * len(counts), sum(shares[i] for i in order), 0, 0, 0
+    done, total = [0] * len(counts), sum(shares[i] for i in order)
     while after[-1] != -1:
         for t, (i, j) in enumerate(turns(left(), shares, total)):
             release, deadline = windows(j, shares[i], total)
@@ -107,20 +116,22 @@ def planned(counts: list[int], weights: list[float], block: int = BLOCK) -> Iter
         phase, slot0, total = phase + 1, slot0 + t + 1, total - shares[i]
 
 
-def mixed(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block: int = BLOCK, period: int = PERIOD, temper: float = 0.5, seed: str = "mix") -> DataFrame:
+def mixed(docs: DataFrame, weights: dict | None = None, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", block: int | None = None, period: int = PERIOD, temper: float = 0.5, seed: str = "mix") -> DataFrame:
     """(id, source, block, phase, release, deadline, slot, position) of every row; ``position`` runs from 0, gapless.
 
-    ``weights`` gives target weights by source, those absent get the smallest given; without it a source of n rows has
-    weight n ** ``temper``. ``period`` is how many slots the driver plans at a time; it changes no row. A null source is a source. Rows that repeat each other get a place each. No rows give none.
+    ``weights`` gives target weights by source, those absent get the smallest given; a source of weight 0 comes after all
+    others, and a negative weight is an error. Without ``weights`` a source of n rows has weight n ** ``temper``. ``period`` is how many slots the driver plans at a time; it changes no row. A null source is a source. Rows that repeat each other get a place each. No rows give none.
     """
     spark = docs.sparkSession
     tie = F.crc32(F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")))
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), tie.alias("tie"))
     sizes = docs.groupBy(F.col(source_col).alias("source")).count().orderBy(F.desc("count"), "source").collect()
     names, counts = [r["source"] for r in sizes], [r["count"] for r in sizes]
-    asked = [(weights or {}).get(n) for n in names]
-    least = min((w for w in asked if w), default=1.0)
-    target = [w or least for w in asked] if weights else [n**temper for n in counts]
+    block = block or max(BLOCK, -(-sum(counts) // SLOTS))
+    if any(w < 0 for w in (weights or {}).values()):
+        raise ValueError("a weight is negative")
+    least = min((w for w in (weights or {}).values() if w), default=1.0)
+    target = [weights.get(n, least) for n in names] if weights else [n**temper for n in counts]
     path, plan, fields = new_folder(spark, "mixture"), planned(counts, target, block), [x.split() for x in _PLAN.split(", ")]
     types = pa.schema([(name, pa.int32() if kind == "int" else pa.int64()) for name, kind in fields])
     piece = list(islice(plan, period))

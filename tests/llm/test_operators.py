@@ -496,6 +496,54 @@ def test_mixture_keeps_exact_weights_of_many_sources(spark):
             assert all(abs(seen[i] - w / sum(target) * (slot + 1)) < 1 + 1e-6 for i, w in enumerate(target))
 
 
+def test_mixture_takes_filters_weights_of_zero_and_other_columns(spark):
+    d = docs(spark, ["x"] * 90, sources=["a"] * 40 + ["b"] * 30 + ["c"] * 20)
+    got = mixing.mixed(d, {"a": 1.0, "b": 3.0, "c": 0.0}, block=2)
+    rows = got.orderBy("position").collect()
+    assert [r.position for r in rows] == list(range(90)) and {r.source for r in rows[:70]} == {"a", "b"} and all(r.source == "c" for r in rows[70:])
+    for column in got.columns:
+        some = rows[7][column]
+        assert got.where(F.col(column) == some).count() == sum(r[column] == some for r in rows)
+    assert got.where("position < 60").count() == 60 and got.where("slot < 5 and phase = 0").count() == 10
+    with pytest.raises(ValueError):
+        mixing.mixed(d, {"a": -1.0})
+
+
+def test_schedule_equals_a_plain_search():
+    """Every slot holds, of the blocks whose release has come, one with the earliest deadline."""
+    from fractions import Fraction
+
+    for weights in ([0.5, 0.3, 0.2], [1.0] * 7, [0.97, 0.02, 0.01], [n**0.5 for n in (900, 30, 5, 1)]):
+        counts = [200] * len(weights)
+        exact = [Fraction(w) / sum(map(Fraction, weights)) for w in weights]
+        done = [0] * len(weights)
+        for source, block, phase, release, deadline, slot, before in mixing.planned(counts, weights, 1):
+            if phase:
+                break
+            windows = [(done[i] / w // 1, -(-(done[i] + 1) // w)) for i, w in enumerate(exact)]
+            assert (release, deadline) == windows[source] and release <= slot < deadline and before == slot and block == done[source]
+            assert deadline == min(d for r, d in windows if r <= slot)
+            done[source] += 1
+
+
+def test_shards_equal_a_plain_sort(spark):
+    rng = random.Random(7)
+    sources = [rng.choice("aaab") if i % 9 else None for i in range(300)]
+    texts = [f"t{i % 40}" for i in range(300)]
+    got = {r.doc_id: (r.position, r["shard"], r.slot) for r in sharding.proportional_shards(docs(spark, texts, sources=sources), 7).collect()}
+    key = {i: hashlib.md5(f"shards:{i}:{zlib.crc32(texts[i].encode())}".encode()).hexdigest() for i in range(300)}
+    at = {}
+    for s in set(sources):
+        own = sorted((i for i in range(300) if sources[i] == s), key=key.get)
+        at |= {i: ((k + 0.5) / len(own), s is not None, s or "", key[i]) for k, i in enumerate(own)}
+    order = sorted(range(300), key=at.get)
+    want = {}
+    for p, i in enumerate(order):
+        shard = p * 7 // 300
+        want[i] = (p, shard, sum(q * 7 // 300 == shard for q in range(p)))
+    assert got == want
+
+
 # 7: language
 
 
