@@ -30,7 +30,8 @@ UNITS = "kg|g|mg|lb|lbs|oz|km|m|cm|mm|mi|ft|in|mph|kmh|s|ms|min|h|hr|hrs|sec|sec
 FUNCTION_WORDS = "The|A|An|This|That|These|Those|There|Here|It|He|She|They|We|You|His|Her|Their|Its|My|Our|Your|If|When|While|After|Before|Since|Because|Although|As|At|By|For|From|In|Into|Of|On|Over|Under|To|With|Without|And|But|Or|So|Then|Not|No|Each|Every|All|Some|Any|Both|One|Two|Three|What|Which|Who|Whom|Whose|Where|Why|How|Is|Are|Was|Were|Do|Does|Did|Can|Could|Will|Would|Should|May|Let|Given|Find|Compute|Solve|Show|Yesterday|Today|Later|Der|Die|Das|Ein|Eine|Wie|Was|Wer|Wo|Und|Le|La|Les|Un|Une|El|Los|Las|Una|Que|Quel|Quelle|Comment"
 _NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
 _WITH_UNIT = rf"(?i)({_NUMBER})\s?((?:{UNITS})\b|[%€£°])"
-_NAME = rf"(?<![\p{{L}}\p{{N}}\x03])(?!(?:{FUNCTION_WORDS})(?!\p{{L}}))\p{{Lu}}\p{{Ll}}+(?![\p{{L}}\p{{N}}])"
+#: The capital comes first, so that most places are passed over at once; what must not stand before or here follows it.
+_NAME = rf"\p{{Lu}}(?<![\p{{L}}\p{{N}}\x03].)(?<=(?!(?:{FUNCTION_WORDS})(?!\p{{L}})).)\p{{Ll}}+(?![\p{{L}}\p{{N}}])"
 _SPLIT = r"[^\p{L}\p{N}\x01-\x04]+"
 #: Marks before number, unit and name slots; each stands before its value.
 MARKS = "\x02\x03\x04"
