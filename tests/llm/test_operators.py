@@ -366,46 +366,50 @@ def test_present_features_equal_a_plain_loop():
 # 4: language model
 
 
-def modified_kneser_ney(train, test):
+def modified_kneser_ney(train, test, order):
     """Plain dictionaries: tokens, known tokens, base and score of each test text."""
-    bigrams, total = Counter(), Counter()
-    for t in train:
-        seq = ["<s>", *tokens(t), "</s>"]
-        bigrams.update(zip(seq[:-1], seq[1:], strict=True))
-        total.update(seq[:-1])
-    followers, before = defaultdict(list), Counter()
-    for (c, w), n in bigrams.items():
-        followers[c].append(n)
-        before[w] += 1
-    count = Counter({w: n for w, n in total.items() if w != "<s>"})
-    if train:
-        count["</s>"] = len(train)
     many = lambda values: [sum(v == i for v in values) for i in (1, 2, 3, 4)]
-    d2, d1 = kneser_ney.discounts(many(bigrams.values())), kneser_ney.discounts(many(before.values()))
     cut = lambda n, d: 0.0 if n == 0 else n - d[min(n, 3) - 1]
-    c_all, v, n_all = sum(before.values()), len(count), sum(count.values())
-    spare = sum(d1[min(n, 3) - 1] for n in before.values()) / c_all if c_all else 1.0
+
+    def grams(t):
+        seq = ["<s>"] * (order - 1) + [*tokens(t), "</s>"]
+        return [tuple(seq[i : i + order]) for i in range(len(seq) - order + 1)]
+
+    counts = [Counter(g for t in train for g in grams(t))]
+    known = Counter(g[-1] for t in train for g in grams(t))
+    for _ in range(order - 1):
+        counts.insert(0, Counter(g[1:] for g in counts[0]))
+    d = [kneser_ney.discounts(many(c.values())) for c in counts]
+    followers = [defaultdict(list) for _ in counts]
+    for c, f in zip(counts, followers, strict=True):
+        for g, n in c.items():
+            f[g[:-1]].append(n)
+    v, n_all = len(known), sum(known.values())
+
+    def probability(g):
+        k = len(g) - 1
+        lower = probability(g[1:]) if k else 1 / (v + 1)
+        after = followers[k][g[:-1]]
+        return cut(counts[k][g], d[k]) / sum(after) + sum(d[k][min(n, 3) - 1] for n in after) / sum(after) * lower if after else lower
+
     out = []
     for t in test:
-        seq = ["<s>", *tokens(t), "</s>"]
-        score = base = 0.0
-        for c, w in zip(seq[:-1], seq[1:], strict=True):
-            low = (cut(before[w], d1) / c_all if c_all else 0.0) + spare / (v + 1)
-            p = low if not total[c] else cut(bigrams[c, w], d2) / total[c] + sum(d2[min(n, 3) - 1] for n in followers[c]) / total[c] * low
-            score += math.log10(p)
-            base += math.log10((count[w] + 0.5) / (n_all + 0.5 * (v + 1)))
-        out.append((len(seq) - 1, sum(count[w] > 0 for w in seq[1:]), base, score))
+        own = grams(t)
+        base = sum(math.log10((known[g[-1]] + 0.5) / (n_all + 0.5 * (v + 1))) for g in own)
+        out.append((len(own), sum(known[g[-1]] > 0 for g in own), base, sum(math.log10(probability(g)) for g in own)))
     return n_all, out
 
 
-def test_language_model_equals_plain_counts(spark):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model_equals_plain_counts(spark, order):
     rng = random.Random(8)
     few = WORDS[:40]
     texts = [" ".join(rng.choice(few) for _ in range(rng.randint(0, 60))) for _ in range(60)] + ["The  the THE", "", None, "unseen words only"]
+    texts += [f"{few[0]} {few[1]} {few[2]} {few[3]} {w}" for w in few[:12]]
     train = [t for i, t in enumerate(texts) if i % 5 != 1]
     d = docs(spark, texts)
-    model = kneser_ney.train(d.where("doc_id % 5 <> 1"))
-    n, want = modified_kneser_ney(train, texts)
+    model = kneser_ney.train(d.where("doc_id % 5 <> 1"), order=order)
+    n, want = modified_kneser_ney(train, texts, order)
     assert model.tokens == n
     got = {r.doc_id: r for r in kneser_ney.score(d, model).collect()}
     for i, (tokens_, known, base, score) in enumerate(want):
@@ -421,6 +425,10 @@ def test_language_model_of_odd_rows(spark):
     assert len(got) == 8 and {r.doc_id: r.n_tokens for r in got}[4] == 200_001
     p = [r.score for r in kneser_ney.score(docs(spark, ["hello there", "there hello"]), model).orderBy("doc_id").collect()]
     assert p[0] > p[1]
+    third = kneser_ney.train(odd(spark).limit(0), order=3)
+    assert third.tokens == 0 and all(math.isfinite(r.score) and r.n_known == 0 for r in kneser_ney.score(odd(spark), third).collect())
+    with pytest.raises(ValueError):
+        kneser_ney.train(odd(spark), order=1)
 
 
 # 5 and 10: sharding and mixing
