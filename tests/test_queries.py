@@ -12,8 +12,7 @@ MODELS = {"model_predictions", "hybrid_model_predictions", "factorised_predictio
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, name):
-    sf_dir = LARGER.get(name, SF)
-    assert_same(registry.queries()[name](spark, sf_dir), ORACLE[name], sf_dir)
+    assert_same(registry.queries()[name](spark, SF), ORACLE[name], SF)
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(ORACLE) - MODELS))
