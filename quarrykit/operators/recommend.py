@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import settled
 from ..functions.scalar import bucketed
 
 
@@ -31,7 +32,7 @@ def pearson(ratings: DataFrame, both_ways: bool = False) -> DataFrame:
     sums = pairs.groupBy("a", "b").agg(F.sum(F.col("za") * F.col("zb")).alias("ab"), F.sum(F.col("za") * F.col("za")).alias("aa"), F.sum(F.col("zb") * F.col("zb")).alias("bb"))
     below = F.sqrt(F.col("aa") * F.col("bb"))
     out = sums.select("a", "b", F.when(below == 0, F.lit(0.0)).otherwise(F.col("ab") / F.when(below == 0, F.lit(1.0)).otherwise(below)).alias("similarity"))
-    return out.unionByName(out.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity")) if both_ways else out
+    return out.select(F.inline(F.array(F.struct("a", "b", "similarity"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "similarity")))) if both_ways else out
 
 
 def cf_predict(ratings: DataFrame, targets: DataFrame, min_neighbors: int = 60) -> DataFrame:
@@ -41,7 +42,7 @@ def cf_predict(ratings: DataFrame, targets: DataFrame, min_neighbors: int = 60)
     ``min_neighbors`` other items, or without any of positive similarity, gets the item's mean; else the mean of the
     user's other ratings weighted by positive similarity.
     """
-    targets = targets.select("u", "i").distinct()
+    ratings, targets = settled(ratings), targets.select("u", "i").distinct()
     items = averages(ratings, "i", "item_mean").drop("n")
     users = averages(ratings, "u", "user_mean").withColumnRenamed("n", "user_n")
     known = targets.join(items, "i", "left").join(users, "u", "left")

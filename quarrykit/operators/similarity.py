@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import settled
 from ..functions.ranking import indexed
 
 #: Rows of a band and bands.
@@ -32,11 +33,15 @@ def signatures(sets: DataFrame, modulus: int | None = None, n: int = ROWS * BAND
     """(item, sig): the minimum of (a idx + b) mod m over the item's elements for each of n hashes; m is the number of
     distinct elements unless given."""
     index = element_index(sets)
-    matrix = characteristic_matrix(sets, index)
-    count = index.agg(F.count("*").alias("m")) if modulus is None else sets.sparkSession.range(1).select(F.lit(modulus).cast("long").alias("m"))
+    return signed(characteristic_matrix(sets, index), index, modulus, n).drop("members")
+
+
+def signed(matrix: DataFrame, index: DataFrame, modulus: int | None = None, n: int = ROWS * BANDS) -> DataFrame:
+    """(item, members, sig): as ``signatures``, from the matrix."""
+    count = index.agg(F.count("*").alias("m")) if modulus is None else index.sparkSession.range(1).select(F.lit(modulus).cast("long").alias("m"))
     rows = matrix.crossJoin(F.broadcast(count))  # one row
     each = [F.expr(f"array_min(transform(members, x -> (x * {a}L + {b}L) % m))") for _, a, b in hash_parameters(n)]
-    return rows.select("item", F.array(*each).alias("sig"))
+    return rows.select("item", "members", F.array(*each).alias("sig"))
 
 
 def bands(signed: DataFrame, rows: int = ROWS) -> DataFrame:
@@ -55,15 +60,21 @@ def candidates(signed: DataFrame, rows: int = ROWS) -> DataFrame:
 
 def jaccard(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b, similarity): the exact Jaccard of each pair, from arrays of elements."""
-    arrays = sets.groupBy("item").agg(F.collect_set("element").alias("s"))
-    both = pairs.join(arrays.select(F.col("item").alias("a"), F.col("s").alias("sa")), "a").join(arrays.select(F.col("item").alias("b"), F.col("s").alias("sb")), "b")
+    return _jaccard(pairs, sets.groupBy("item").agg(F.collect_set("element").alias("members")))
+
+
+def _jaccard(pairs: DataFrame, matrix: DataFrame) -> DataFrame:
+    sides = (matrix.select(F.col("item").alias(x), F.col("members").alias(f"s{x}")) for x in ("a", "b"))
+    both = pairs.join(next(sides), "a").join(next(sides), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("similarity"))
 
 
 def similar_pairs(sets: DataFrame, threshold: float = 0.5, modulus: int | None = None) -> DataFrame:
     """(a, b, similarity) at or above ``threshold``, of pairs that share a band."""
-    return jaccard(candidates(signatures(sets, modulus)), sets).where(F.col("similarity") >= threshold)
+    index = element_index(sets)
+    rows = settled(signed(characteristic_matrix(sets, index), index, modulus))
+    return _jaccard(candidates(rows), rows).where(F.col("similarity") >= threshold)
 
 
 def overlaps(sets: DataFrame) -> DataFrame:
@@ -73,10 +84,28 @@ def overlaps(sets: DataFrame) -> DataFrame:
     return rows.withColumnRenamed("item", "a").join(other, "element").where("a < b").groupBy("a", "b").agg(F.count("*").alias("common"))
 
 
+def filtered_overlaps(sets: DataFrame, need: Column) -> DataFrame:
+    """(a, b, common, na, nb): pairs that share as many elements as ``need`` asks of either set, given the set's size ``n``.
+
+    Elements are numbered from the rarest to the commonest. The rarest element that such a pair shares is followed by
+    the others in both sets, so it stands among the first n - need + 1 of each: only those are joined, and the common
+    elements of a set meet nobody. What is found there is counted on the whole sets. Null items and elements are left out.
+    """
+    rows = settled(sets.select("item", "element").where("item is not null and element is not null").distinct())
+    by_rarity = indexed(rows.groupBy("element").agg(F.count("*").alias("n")).select(F.struct("n", "element").alias("k")), "k")
+    members = rows.join(by_rarity.select("k.element", "idx"), "element").groupBy("item").agg(F.array_sort(F.collect_list("idx")).alias("members"))
+    members = members.withColumn("n", F.size("members")).withColumn("need", F.greatest(need, F.lit(1)).cast("int")).where("n >= need")
+    members = indexed(members, "item", "id")  # numbers in the items' order, lighter to join than the items
+    first = members.select("id", F.explode(F.slice("members", F.lit(1), F.expr("n - need + 1"))).alias("idx"))
+    pairs = first.withColumnRenamed("id", "x").join(first.withColumnRenamed("id", "y"), "idx").where("x < y").select("x", "y").distinct()
+    left, right = (members.select(F.col("id").alias(i), F.col("item").alias(item), F.col("members").alias(f"m{i}"), F.col("n").alias(f"n{item}"), F.col("need").alias(f"need{i}")) for i, item in (("x", "a"), ("y", "b")))
+    found = pairs.join(left, "x").join(right, "y").withColumn("common", F.size(F.array_intersect("mx", "my")).cast("long"))
+    return found.where("common >= greatest(needx, needy)").select("a", "b", "common", "na", "nb")
+
+
 def exact_pairs(sets: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(a, b, similarity) at or above ``threshold``, of all pairs."""
-    sizes = sets.select("item", "element").distinct().groupBy("item").agg(F.count("*").alias("n"))
-    rows = overlaps(sets).join(sizes.select(F.col("item").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("item").alias("b"), F.col("n").alias("nb")), "b")
+    """(a, b, similarity) at or above ``threshold``, of all pairs that share an element."""
+    rows = filtered_overlaps(sets, F.ceil(F.col("n") * threshold - 1e-9))
     rows = rows.select("a", "b", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("similarity"))
     return rows.where(F.col("similarity") >= threshold)
 

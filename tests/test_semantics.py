@@ -98,6 +98,23 @@ def test_similar_pairs_are_exact(spark):
     assert {x for x in exact if x[2] == 1.0} <= found
 
 
+def test_filtered_overlaps_equal_all_overlaps(spark):
+    data = [(f"u{i:02d}", (i * i + 7 * e) % 41) for i in range(40) for e in range(12 + i % 9)] + [("u00", 1), ("u00", None), (None, 1), ("lone", 999)]
+    rows = frame(spark, data * 2, "item string, element int")
+    every = {(r.a, r.b): r.common for r in similarity.overlaps(rows).collect()}
+    for need in (0, 5, 30):
+        got = {(r.a, r.b): r.common for r in similarity.filtered_overlaps(rows, F.lit(need)).collect()}
+        assert got == {k: n for k, n in every.items() if n >= need}
+    sets = {}
+    for i, e in data:
+        if i is not None and e is not None:
+            sets.setdefault(i, set()).add(e)
+    for least in (0.3, 0.8):
+        want = {(a, b) for a in sets for b in sets if a < b and sets[a] & sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least}
+        assert {(r.a, r.b) for r in similarity.exact_pairs(rows, least).collect()} == want
+    assert similarity.filtered_overlaps(rows.limit(0), F.lit(2)).count() == 0
+
+
 def ratings(spark):
     rows = [(u, i, float(1 + (u * i + u) % 5)) for u in range(1, 9) for i in range(1, 7) if (u + i) % 4]
     return frame(spark, rows, "u long, i long, rating double")
