@@ -173,6 +173,21 @@ def test_unknown_profiles_are_imputed(spark):
     assert {(r.u, r.a, r.b) for r in recommend.features(data, users, items).collect()} == {(1, 10.0, 4.0), (2, 10.0, 2.0)}
 
 
+def test_graphs_by_kind_equal_those_by_edge(spark):
+    shapes = ["abc", "abd", "abd", "bcd", "xyz", "xyz", "xyz", "cde", "de", "d", "d", "def", "efg", "efg", "mno", "aef"]
+    sets = frame(spark, [(f"n{i:02d}", e) for i, s in enumerate(shapes) for e in s], "item string, element string")
+    e, g = graph.settled(graph.co_occurrence_edges(sets, 2)), graph.co_occurrence_kinds(sets, 2)
+    rows = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    assert e.count() == sum(i != j and len(set(a) & set(b)) >= 2 for i, a in enumerate(shapes) for j, b in enumerate(shapes))
+    assert g.size.count() < g.of.count() and rows(g.of.select("id")) == rows(graph.vertices(e))
+    assert rows(graph.shortest_paths_by_kind(g)) == rows(graph.shortest_paths(e).select("s", "v", "d", "sigma"))
+    assert rows(graph.edge_betweenness_by_kind(g)) == rows(graph.edge_betweenness(e))
+    assert rows(graph.connected_components_by_kind(g)) == rows(graph.connected_components(e))
+    assert rows(graph.label_propagation_by_kind(g, 2)) == rows(graph.label_propagation(e, 2))
+    parts = graph.label_propagation(e, 2).withColumnRenamed("label", "component")
+    assert one(graph.modularity_by_kind(g, parts)) == pytest.approx(one(graph.modularity(e, parts)))
+
+
 def edges(spark, pairs):
     return frame(spark, [x for a, b in pairs for x in ((a, b), (b, a))], "src string, dst string")
 
