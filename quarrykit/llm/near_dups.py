@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 from .components import components
-from .textcore import buffers, mix64, parts, shingles, words
+from .textcore import buffers, lean, mix64, parts, shingles, words
 
 #: With 24 bands of 4 a pair at Jaccard 0.8 is missed once in 300,000 times, one at 0.9 never in practice.
 BANDS, ROWS = 24, 4
@@ -328,7 +328,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     of_hub = pairs.select("hub", "salt").distinct().join(texts, F.col("hub") == F.col("node")).select("node", "hub", "salt", F.lit(0).alias("member"), "text")
     of_a = pairs.join(texts, F.col("a") == F.col("node")).select("node", "hub", "salt", F.lit(1).alias("member"), "text")
     rows = of_hub.unionByName(of_a).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member")
-    return rows.mapInArrow(_compare(size), "a long, hub long, common long, whole long")
+    return rows.mapInArrow(lean(_compare(size)), "a long, hub long, common long, whole long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, errors: float | None = ERRORS, fragment: int = FRAGMENT) -> DataFrame:
@@ -347,12 +347,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
     kind, width = dict(source.dtypes)["id"], bands * rows
-    described = stored(source.mapInArrow(_describe(shingle, bands, rows), f"id {kind}, text_hash long, n long, s1 long, s2 long, bands array<long>, nibbles array<long>"), "signatures")
+    described = stored(source.mapInArrow(lean(_describe(shingle, bands, rows)), f"id {kind}, text_hash long, n long, s1 long, s2 long, bands array<long>, nibbles array<long>"), "signatures")
     sets = described.where("n > 0 and id is not null").groupBy("n", "s1", "s2")
     reps = sets.agg(F.min(F.struct("id", "text_hash")).alias("first"), F.first("bands").alias("bands"), F.first("nibbles").alias("nibbles"))
     reps = stored(reps.select(F.monotonically_increasing_id().alias("node"), "n", "s1", "s2", "first", "bands", "nibbles"), "texts")
     keyed = reps.select(F.explode("bands").alias("key"), "node").repartitionByRange("key", "node").sortWithinPartitions("key", "node")
-    placed = stored(keyed.mapInArrow(_fragments(fragment), "key long, frag long, cut boolean, node long"), "fragments")
+    placed = stored(keyed.mapInArrow(lean(_fragments(fragment)), "key long, frag long, cut boolean, node long"), "fragments")
     members = stored(placed.join(reps.select("node", "n", "nibbles"), "node"), "buckets")
 
     def texts_of(nodes: DataFrame) -> DataFrame:
@@ -366,7 +366,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     linked = f"100 * common >= {percent} * whole"
     # First pass: stars in each fragment, and the medoids of a bucket's fragments tied to one of them.
-    stars = stored(members.repartition("key", "frag").sortWithinPartitions("key", "frag").mapInArrow(_stars(percent, width, errors), "key long, frag long, a long, hub long, medoid boolean"), "stars")
+    stars = stored(members.repartition("key", "frag").sortWithinPartitions("key", "frag").mapInArrow(lean(_stars(percent, width, errors)), "key long, frag long, a long, hub long, medoid boolean"), "stars")
     medoids = stars.where("medoid").select("key", F.col("hub").alias("a"))
     ties = medoids.join(medoids.groupBy("key").agg(F.min("a").alias("hub")), "key").where("a <> hub").select("a", "hub", F.expr("a div 256").alias("salt"))
     pairs = stars.where("not medoid").select("a", "hub", F.xxhash64("key", "frag").alias("salt")).unionByName(ties).groupBy("a", "hub").agg(F.min("salt").alias("salt"))
@@ -385,12 +385,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one = rest.join(sides, ["key", "frag"]).withColumn("rest", F.lit(True))
     two = now.withColumnRenamed("frag", "other").join(sides, ["key", "other"]).withColumn("rest", F.lit(False))
     blocks = one.unionByName(two.select(*one.columns)).repartition(*_BLOCK).sortWithinPartitions(*_BLOCK)
-    doubtful = stored(blocks.mapInArrow(_blocks(percent, width, errors, "nibbles", False), "key long, frag long, other long, node long, rest boolean"), "doubtful")
+    doubtful = stored(blocks.mapInArrow(lean(_blocks(percent, width, errors, "nibbles", False)), "key long, frag long, other long, node long, rest boolean"), "doubtful")
     texts = texts_of(doubtful.select("node").distinct())
-    fine = stored(texts.mapInArrow(_refine(shingle, FINE), "fine_of long, fine array<long>"), "fine")
+    fine = stored(texts.mapInArrow(lean(_refine(shingle, FINE)), "fine_of long, fine array<long>"), "fine")
     of_node = now.select("key", "node", "n", "component", "main")
     blocks = doubtful.join(of_node, ["key", "node"]).join(fine, F.col("node") == F.col("fine_of")).join(reps.select("node", "bands"), "node").repartition(*_BLOCK).sortWithinPartitions(*_BLOCK)
-    pairs = blocks.mapInArrow(_blocks(percent, FINE, errors, "fine", True), "a long, hub long, salt long")
+    pairs = blocks.mapInArrow(lean(_blocks(percent, FINE, errors, "fine", True)), "a long, hub long, salt long")
     pairs = stored(pairs.join(tested.select("a", "hub"), ["a", "hub"], "left_anti").join(tested.select(F.col("hub").alias("a"), F.col("a").alias("hub")), ["a", "hub"], "left_anti"), "pairs")
     links = stored(_verify(pairs, texts, shingle).where(linked), "links")
     if not links.isEmpty():

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .textcore import buffers, parts
+from .textcore import buffers, lean, parts
 
 ORDERS, BITS = (3, 4, 5), 20
 #: Labelled rows of each label that training uses at most; rows whose n-grams one task counts; rows of a training block.
@@ -173,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_co
     none = np.zeros(0, np.int32)
     if not n1 or not n0:
         return Classifier(none, none, 60.0 if n1 else -60.0)
-    counted = rows.mapInArrow(_totals, "chunk int, other binary, toxic binary")
+    counted = rows.mapInArrow(lean(_totals), "chunk int, other binary, toxic binary")
     chosen = stored(counted.groupBy("chunk").applyInArrow(_choose(n0, n1, gate), "feature int, other long, toxic long, sure double"), "features")
     sums = chosen.where("feature < 0").agg(F.sum("other"), F.sum("toxic")).first()
     best = chosen.where("feature >= 0").orderBy("feature").collect()  # at most 2**BITS
@@ -182,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_co
     kept = np.array([x.feature for x in best], np.int32)
     p, q = ((np.array([x[c] for x in best]) + 1) / (sums[i] + (1 << BITS)) for c, i in (("toxic", 1), ("other", 0)))
     r = np.log(p) - np.log(q)
-    got = rows.mapInArrow(_rows(kept), "label int, features binary").collect()  # bounded by the sample
+    got = rows.mapInArrow(lean(_rows(kept)), "label int, features binary").collect()  # bounded by the sample
     w, b = logistic([np.frombuffer(x.features, np.int32) for x in got], r, np.array([x.label for x in got], dtype=np.float64))
     return Classifier(kept, (w * r).astype(np.float32), float(b))
 
@@ -202,7 +202,7 @@ def _score(model: Classifier):
 def toxicity(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score, predicted) of every row, repeated rows and rows without id included; a null text scores as empty."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(_score(model), f"id {dict(source.dtypes)['id']}, score double, predicted int").withColumnRenamed("id", id_col)
+    return source.mapInArrow(lean(_score(model)), f"id {dict(source.dtypes)['id']}, score double, predicted int").withColumnRenamed("id", id_col)
 
 
 def without_toxic(docs: DataFrame, model: Classifier, text_col: str = "text") -> DataFrame:
@@ -217,4 +217,4 @@ def without_toxic(docs: DataFrame, model: Classifier, text_col: str = "text") ->
                 clean = model.score(raw[starts[a] : starts[b]], starts[a : b + 1] - starts[a], weights) < 0.5
                 yield batch.slice(a, b - a).filter(pa.array(clean))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -750,3 +750,24 @@ def test_queries_cover_the_ten_operators():
 def test_query_runs_over_the_whole_table(spark, name):
     rows = registry.queries()[name](spark, "/root/testdata/sf0.001").toPandas()
     assert len(rows) == {"op1": len(rows), "op2": 50, "op8": 50}.get(name.split("_")[0], 200)
+
+
+def test_workers_hold_small_pieces_and_give_memory_back():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from quarrykit.llm import textcore
+
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(999)]
+    texts = [" ".join(rng.choices(vocabulary, k=500)) for _ in range(4000)]
+    ids = pa.array(range(len(texts)))
+    model = toxicity.Classifier(np.arange(0, 1 << 20, 20, dtype=np.int32), np.ones(52429, np.float32), 0.0)
+    for run, names in ((toxicity._score(model), ["id", "text"]), (near_dups._describe(5, 24, 4), ["id", "text_hash", "text"])):
+        batch = pa.RecordBatch.from_arrays([*[ids] * (len(names) - 1), pa.array(texts)], names)
+        tracemalloc.start()
+        got = sum(x.num_rows for x in textcore.lean(run)(iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert got == len(texts) and most < 40e6  # pieces of 4 MB took 96 and 132 MB here
