@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import settled
+from .similarity import kinds_of_members, numbered_members
 
 
 def supports(baskets: DataFrame, column: str = "i") -> DataFrame:
@@ -63,6 +64,51 @@ def frequent(baskets: DataFrame, support: int, most: int | None = None, chunk: s
     return result
 
 
+def frequent_by_kind(baskets: DataFrame, support: int) -> DataFrame:
+    """(items, support) as ``frequent`` has it, for many items in few baskets; null items are left out.
+
+    Items that stand in the same baskets are of one kind. Sets of kinds are found by intersecting the baskets of sets that differ in
+    their last kind, so no occurrence is ever listed; a set of kinds is then told for every choice of some items of each.
+    """
+    rows = settled(baskets.select("b", "i").where("i is not null").distinct())
+    single = supports(rows).where(F.col("support") >= support).select(F.array("i").alias("items"), "support")
+    members = numbered_members(rows.select(F.col("i").alias("item"), F.col("b").alias("element")), F.lit(support))
+    of, kind, links = kinds_of_members(members)
+    choices = _choices(of)
+    own = members.join(of, "item").groupBy("kind").agg(F.any_value("members").alias("baskets"))
+    alike = kind.where("size > 1").join(choices, "kind").select(F.explode("sets").alias("items"), F.col("n").cast("long").alias("support")).where("size(items) > 1")
+    left, right = (own.select(F.col("kind").alias(c), F.col("baskets").alias(f"_{c}")) for c in "xy")
+    both = links.select("x", "y").join(left, "x").join(right, "y")
+    level = settled(both.select(F.array("x").alias("first"), F.col("y").alias("last"), F.array_intersect("_x", "_y").alias("baskets")))
+    out, k = single.unionByName(alike), 2
+    while not level.isEmpty():
+        out = out.unionByName(_chosen(level, choices, k))
+        other = level.select("first", F.col("last").alias("next"), F.col("baskets").alias("_b"))
+        longer = level.join(other, "first").where("last < next").select("first", "last", "next", F.array_intersect("baskets", "_b").alias("baskets"))
+        level, k = settled(longer.where(F.size("baskets") >= support).select(F.concat("first", F.array("last")).alias("first"), F.col("next").alias("last"), "baskets")), k + 1
+    return out
+
+
+def _choices(of: DataFrame, most: int = 8) -> DataFrame:
+    """(kind, sets): all choices of some items of a kind (item, kind), in parts of 2 ** ``most`` at most."""
+    items = of.groupBy("kind").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    items = items.withColumn("n", F.when(F.size("items") < 63, F.size("items")).otherwise(F.raise_error(F.lit("a kind of 63 or more items has over 2 ** 62 sets"))))
+    each = items.select("kind", "items", F.explode(F.expr("sequence(1L, shiftleft(1L, n - 1) - 1 + shiftleft(1L, n - 1))")).alias("m"))
+    sets = each.select("kind", F.expr(f"shiftright(m, {most})").alias("part"), F.expr("filter(items, (x, j) -> getbit(m, j) = 1)").alias("s"))
+    return settled(sets.groupBy("kind", "part").agg(F.collect_list("s").alias("sets")).select("kind", "sets"))
+
+
+def _chosen(level: DataFrame, choices: DataFrame, k: int) -> DataFrame:
+    """(items, support): ``level`` (first, last, baskets) of sets of ``k`` kinds, told for all choices of items."""
+    rows = level.select(F.size("baskets").cast("long").alias("support"), *[F.col("first")[j].alias(f"k{j}") for j in range(k - 1)], F.col("last").alias(f"k{k - 1}"))
+    for j in range(k):
+        rows = rows.join(choices.select(F.col("kind").alias(f"k{j}"), F.col("sets").alias(f"s{j}")), f"k{j}").drop(f"k{j}")
+    rows = rows.repartition(int(level.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    for j in range(k):
+        rows = rows.withColumn(f"s{j}", F.explode(f"s{j}"))
+    return rows.select(F.sort_array(F.concat(*[f"s{j}" for j in range(k)])).alias("items"), "support")
+
+
 def son_candidates(baskets: DataFrame, support: int, chunks: int, key: Column | None = None, most: int | None = None) -> DataFrame:
     """(items): the sets that are frequent in some chunk against the chunk's share of the support. Every set that is
     frequent over all is among them. Baskets go to chunks by ``key`` modulo ``chunks``; an empty chunk yields none."""

@@ -86,6 +86,21 @@ def test_itemsets(spark):
     assert [r["items"] for r in itemsets.as_sets(rows, larger_than=2).orderBy("b").collect()] == [["a", "b", "c"]] * 2
 
 
+def test_itemsets_by_kind(spark):
+    rng = random.Random(4)
+    baskets = {i: [b for b in range(12) if rng.random() < 0.6] for i in "abcdefg"}
+    baskets |= {"a2": baskets["a"], "a10": baskets["a"], "c2": baskets["c"], "h": []}
+    rows = frame(spark, [(b, i) for i, own in baskets.items() for b in own], "b int, i string")
+    got = lambda df: sorted((tuple(r["items"]), r.support) for r in df.collect())
+    for support in (4, 99):
+        want = got(itemsets.frequent(rows, support))
+        assert got(itemsets.frequent_by_kind(rows, support)) == want
+        assert support != 4 or max(len(x) for x, _ in want) > 4
+    odd = rows.unionByName(frame(spark, [(None, "z"), (None, "a"), (1, None)], "b int, i string"))
+    assert got(itemsets.frequent_by_kind(odd, 1)) == got(itemsets.frequent(odd, 1).where("items[0] is not null"))
+    assert got(itemsets.frequent_by_kind(rows.limit(0), 1)) == []
+
+
 def test_pcy_equals_plain_pairs(spark):
     rows = frame(spark, [(b, i) for b in range(40) for i in range(8) if (b * 7 + i * i) % 3], "b int, i long")
     plain = {(r.a, r.b): r.support for r in itemsets.frequent_pairs(rows, 15).collect()}
