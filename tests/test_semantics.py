@@ -322,6 +322,22 @@ def test_graphs_by_kind_equal_those_by_edge(spark):
     assert one(graph.modularity_by_kind(g, parts)) == pytest.approx(one(graph.modularity(e, parts)))
 
 
+def test_paths_within_tasks_equal_those_by_joins(spark, monkeypatch):
+    rng = random.Random(8)
+    shapes = [rng.sample("abcdefghijkl", 4) for _ in range(30)]
+    shapes += [shapes[0], shapes[0], shapes[5], "yz", "yz", "xw"]
+    sets = frame(spark, [(f"n{i:02d}", e) for i, s in enumerate(shapes) for e in s], "item string, element string")
+    g = graph.co_occurrence_kinds(sets, 2)
+    rows = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+    paths, found = rows(graph.shortest_paths_by_kind(g, whole=False)), rows(graph.edge_betweenness_by_kind(g, whole=False))
+    assert max(d for _, _, d, _ in paths) > 2 and max(n for *_, n in paths) > 2
+    monkeypatch.setattr(graph, "_CELLS", 1 << 10)
+    assert rows(graph.shortest_paths_by_kind(g, whole=True)) == paths
+    assert rows(graph.edge_betweenness_by_kind(g, whole=True)) == found
+    none = graph.co_occurrence_kinds(sets.limit(0), 2)
+    assert rows(graph.shortest_paths_by_kind(none, whole=True)) == [] == rows(graph.edge_betweenness_by_kind(none, whole=True))
+
+
 def edges(spark, pairs):
     return frame(spark, [x for a, b in pairs for x in ((a, b), (b, a))], "src string, dst string")
 
