@@ -4,6 +4,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -417,6 +418,34 @@ def test_girvan_newman_goes_on_to_the_last_edge(spark):
     graph.girvan_newman(edges(spark, ["ab", "aa"]))  # a loop at a node never goes, yet the rounds end
 
 
+def test_girvan_newman_stores_no_table_for_each_round(spark, monkeypatch):
+    rng = random.Random(10)
+    pairs = sorted({a + b for part in ("abcdefg", "ghijk", "lmnopqr", "qrstu", "vw") for a in part for b in part if a < b and rng.random() < 0.6})
+    rounds = brute_girvan_newman(pairs)
+    top = max(range(len(rounds)), key=lambda i: round(rounds[i][0], 9))
+    assert len(rounds) == 16 and top == 4
+    stored = []
+    monkeypatch.setattr(graph, "settled", lambda df: stored.append(1) or lineage.settled(df))
+    parts, found = graph.girvan_newman(edges(spark, pairs))
+    assert found == pytest.approx(rounds[top][0]) and {r.id: r.component for r in parts.collect()} == rounds[top][1]
+    assert len(stored) < 15
+    parts, found = graph.girvan_newman(edges(spark, pairs), 2)
+    top = max(range(3), key=lambda i: round(rounds[i][0], 9))
+    assert found == pytest.approx(rounds[top][0]) and {r.id: r.component for r in parts.collect()} == rounds[top][1]
+
+
+def test_betweenness_within_a_part_equals_that_by_joins(spark, monkeypatch):
+    rng = random.Random(5)
+    pairs = sorted({a + b for a in "abcdefghijklmn" for b in "abcdefghijklmn" if a < b and rng.random() < 0.3} | {a + b for a, b in zip("abcdefghijklm", "bcdefghijklmn")})
+    want = {(r.u, r.v): round(r.betweenness, 8) for r in graph.edge_betweenness(edges(spark, pairs)).collect()}
+    ends = [("abcdefghijklmn".index(x), "abcdefghijklmn".index(y)) for a, b in pairs for x, y in ((a, b), (b, a))]
+    src, dst = (np.array(x) for x in zip(*ends))
+    for cells in (graph._CELLS, 300, 40):  # by products, in blocks of sources, link by link
+        monkeypatch.setattr(graph, "_CELLS", cells)
+        p = graph._Part(np.arange(14), src, dst, np.ones(len(src)))
+        assert {("abcdefghijklmn"[u], "abcdefghijklmn"[v]): x for u, v, x in zip(p.src, p.dst, p.used) if u < v} == pytest.approx(want)
+
+
 def stream(spark, users, size=4):
     rows = frame(spark, [(i, u) for i, u in enumerate(users)], "event_id long, user string")
     return readers.batches(rows, size, F.expr("event_id div 3"), ["event_id"]).select("seq", "batch", "user")
