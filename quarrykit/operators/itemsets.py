@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,15 +69,88 @@ def frequent(baskets: DataFrame, support: int, most: int | None = None, chunk: s
     return result
 
 
-def frequent_by_kind(baskets: DataFrame, support: int) -> DataFrame:
+#: Numbers that a task can lay out as zeros and ones; prefixes that it takes at a time, and sets that it compares with others at a time.
+_CELLS, _AT_A_TIME, _ROWS = 1 << 25, 64, 1024
+
+
+def _larger(own: np.ndarray, need: int) -> Iterator[tuple[list[int], int]]:
+    """Positions of two or more rows of ``own`` (zeros and ones) that share ``need`` columns at least, in rising order, and how many."""
+    for p in range(0, len(own), _ROWS):
+        common = own[p : p + _ROWS] @ own[p:].T
+        i, j = np.divmod(np.flatnonzero(common >= need), common.shape[1])
+        i, j, n = i[i < j], j[i < j], common[i[i < j], j[i < j]]
+        yield from (([a, b], c) for a, b, c in zip((i + p).tolist(), (j + p).tolist(), n.astype(np.int64).tolist()))
+        for a in np.flatnonzero(np.bincount(i) > 1) if len(i) else ():
+            after = j[i == a] + p
+            for some, c in _larger(own[after] * own[a + p], need):
+                yield [int(a) + p, *after[some].tolist()], c
+
+
+def _tasks_sets(support: int):
+    """(items, support) of all frequent sets of two or more items whose first item, in the order of their baskets' number, is the task's."""
+
+    def told(at: list[np.ndarray], ids: pa.Array, counts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        sizes = np.concatenate([np.full(len(x), x.shape[1]) for x in at])
+        flat = np.concatenate([np.sort(x, axis=1).ravel() for x in at])
+        items = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), ids.take(pa.array(flat)))
+        yield pa.RecordBatch.from_arrays([items, pa.array(np.concatenate(counts))], ["items", "support"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = list(batches)
+        if not batches:
+            return
+        rows = pa.Table.from_batches(batches).sort_by("item").combine_chunks()
+        ids, n = rows.column("item").combine_chunks(), rows.column("n").to_numpy()
+        flat = pc.list_flatten(rows.column("members")).to_numpy()
+        task, tasks = rows.column("task")[0].as_py(), rows.column("tasks")[0].as_py()
+        order = np.argsort(n, kind="stable")  # few large sets follow a small one
+        sets = np.zeros((len(n), int(flat.max()) + 1), np.float32)
+        sets[np.repeat(np.arange(len(n)), n), flat] = 1
+        sets = sets[order]
+        at, counts, held = [], [], 0
+        mine = np.arange(task, len(sets), tasks)
+        for p in range(0, len(mine), _AT_A_TIME):
+            first = mine[p : p + _AT_A_TIME]
+            common = sets[first] @ sets[first[0] :].T
+            for x, shared in zip(first, common):
+                later = np.flatnonzero(shared[x - first[0] + 1 :] >= support) + x + 1
+                at.append(np.stack([np.full(len(later), order[x]), order[later]], axis=1))
+                counts.append(shared[later - first[0]].astype(np.int64))
+                held += len(later)
+                for some, c in _larger(sets[np.ix_(later, np.flatnonzero(sets[x]))], support):
+                    at.append(order[[[x, *later[some]]]])
+                    counts.append(np.array([c]))
+                    held += 1
+                if held > 1 << 16:
+                    yield from told(at, ids, counts)
+                    at, counts, held = [], [], 0
+        if held:
+            yield from told(at, ids, counts)
+
+    return run
+
+
+def frequent_by_kind(baskets: DataFrame, support: int, whole: bool | None = None) -> DataFrame:
     """(items, support) as ``frequent`` has it, for many items in few baskets; null items are left out.
 
+    Where hardly any items stand in the same baskets and all of them fit into a task (``whole``, by their number if None), each task
+    intersects the baskets of a share of the items with all others and goes on from these, so nothing but what is found is ever listed.
+
     Items that stand in the same baskets are of one kind. Sets of kinds are found by intersecting the baskets of sets that differ in
     their last kind, so no occurrence is ever listed; a set of kinds is then told for every choice of some items of each.
     """
     rows = settled(baskets.select("b", "i").where("i is not null").distinct())
     single = supports(rows).where(F.col("support") >= support).select(F.array("i").alias("items"), "support")
     members = numbered_members(rows.select(F.col("i").alias("item"), F.col("b").alias("element")), F.lit(support))
+    if whole is None:
+        n, wide = members.agg(F.count("*"), F.max(F.element_at("members", -1))).first()
+        most = members.groupBy("members").count().agg(F.max("count")).first()[0] or 0
+        whole = n * ((wide or 0) + 1) <= _CELLS and n > 1000 and most <= 2
+    if whole:
+        tasks = int(baskets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = members.select("item", F.col("members").cast("array<int>").alias("members"), "n", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task"), F.lit(tasks).alias("tasks"))
+        item = dict(members.dtypes)["item"]
+        return single.unionByName(dealt.repartitionById(tasks, "task").mapInArrow(_tasks_sets(support), f"items array<{item}>, support long"))
     of, kind, links = kinds_of_members(members)
     choices = _choices(of)
     own = members.join(of, "item").groupBy("kind").agg(F.any_value("members").alias("baskets"))

@@ -102,6 +102,21 @@ def test_itemsets_by_kind(spark):
     assert got(itemsets.frequent_by_kind(rows.limit(0), 1)) == []
 
 
+def test_itemsets_within_tasks_equal_those_by_level(spark, monkeypatch):
+    rng = random.Random(12)
+    data = [(b, f"i{x}") for b in range(16) for x in range(30) if rng.random() < 0.55] + [(3, None), (4, None)]
+    rows = frame(spark, data, "b int, i string")
+    got = lambda df: sorted((tuple(r["items"]), r.support) for r in df.collect())
+    want = got(itemsets.frequent_by_kind(rows, 6, whole=False))
+    assert max(len(x[0]) for x in want) >= 4
+    monkeypatch.setattr(itemsets, "kinds_of_members", None)  # no join of kinds
+    for at_a_time, some in ((64, 1024), (2, 3)):
+        monkeypatch.setattr(itemsets, "_AT_A_TIME", at_a_time)
+        monkeypatch.setattr(itemsets, "_ROWS", some)
+        assert got(itemsets.frequent_by_kind(rows, 6, whole=True)) == want
+    assert got(itemsets.frequent_by_kind(rows.limit(0), 1, whole=True)) == []
+
+
 def test_pcy_equals_plain_pairs(spark):
     rows = frame(spark, [(b, i) for b in range(40) for i in range(8) if (b * 7 + i * i) % 3], "b int, i long")
     plain = {(r.a, r.b): r.support for r in itemsets.frequent_pairs(rows, 15).collect()}
